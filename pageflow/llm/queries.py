@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import brown_lm as m
+
+    return m.score(table(spark, sf_dir, "documents"))
+
+
 def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import fm_quality as m
 
@@ -58,11 +64,17 @@ def op8_heap_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import adaptive_scan as m
+
+    return m.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import entropy_mix as m
 
     return m.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_factorisation_machine, op4_mcd_outliers, op5_counterfactual_toxicity, op6_seekable_frames, op7_certified_packing, op8_heap_merge_counts, op10_entropy_balancing)}
+QUERIES = {f.__name__: f for f in (op1_brown_classes, op2_factorisation_machine, op4_mcd_outliers, op5_counterfactual_toxicity, op6_seekable_frames, op7_certified_packing, op8_heap_merge_counts, op9_adaptive_scan, op10_entropy_balancing)}
 ORACLE_SQL: dict[str, str] = {}
