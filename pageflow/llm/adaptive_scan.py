@@ -2,7 +2,8 @@
 
 Vectors get one more component, sqrt(largest squared norm - own squared norm), and queries 0; then the largest inner
 product is the smallest Euclidean distance. All are turned by one random rotation. Lists come from k-means on a bounded
-sample; every row is indexed. A query scans its nearest lists in blocks of `block` rotated dimensions: after each block
+sample; every row is indexed. A query scans its nearest lists (as many as a brute-force measurement in the sample
+asks for), in blocks of `block` rotated dimensions: after each block
 the partial distance, scaled to all dimensions, is tested against the distance to beat, and candidates whose distance is
 very likely larger are given up (the test of width `width`). Survivors are scored exactly, in double precision on the
 original vectors. The distance to beat starts from the query's k-th best in the sample, which are rows of the table.
@@ -53,6 +54,22 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray
     return centres
 
 
+def probes_for(centres: np.ndarray, x: np.ndarray, x_turned: np.ndarray, q_turned: np.ndarray, k: int, recall: float) -> int:
+    """Lists that a query has to scan so that `recall` of its k best lie in them, measured by brute force in the sample.
+
+    Neighbours in a sample are farther off than in the whole table, so this errs towards more lists.
+    """
+    half = 0.5 * (centres * centres).sum(1)
+    own = np.argmax(x_turned @ centres.T - half, 1)
+    scores = q_turned @ x_turned.T
+    scores[np.arange(len(q_turned)), np.arange(len(q_turned))] = -np.inf
+    best = np.argsort(-scores, 1, kind="stable")[:, : min(k, len(x) - 1)]
+    order = np.argsort(half - q_turned @ centres.T, 1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(centres)), order.shape), 1)
+    return int(np.quantile(np.take_along_axis(place, own[best], 1), recall)) + 1 if best.size else 1
+
+
 def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, own: int, q: np.ndarray, q_turned: np.ndarray, to_beat: float, k: int, block: int, width: float) -> list[tuple[float, int]]:
     """The k best (score, vec_id) of the candidates that no test gave up."""
     whole, best = turned.shape[1], []
@@ -83,7 +100,7 @@ def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, own: int, q: np.nda
     return [(-s, i) for s, i in best]
 
 
-def search(vectors: DataFrame, *, every: int = 20, k: int = 20, probes: int = 24, most_lists: int = 4096, sample: int = 16384, seeds: int = 4096, block: int = 16, width: float = 2.1, per_group: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, *, every: int = 20, k: int = 20, recall: float = 0.97, most_lists: int = 4096, sample: int = 16384, seeds: int = 4096, block: int = 16, width: float = 2.1, per_group: int = 8192) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found for each row whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -104,8 +121,11 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, probes: int = 24
         last = np.zeros(len(x)) if query else np.sqrt(np.maximum(top - (x * x).sum(1), 0))
         return np.column_stack([x, last]) @ rotation
 
-    lists = max(1, min(most_lists, len(sample_ids) // 8, math.isqrt(n)))
-    shared = spark.sparkContext.broadcast((k_means(turn(sample_x), lists), sample_ids[:seeds], sample_x[:seeds]))  # bounded by most_lists and seeds
+    lists = max(1, min(most_lists, len(sample_ids) // 8, math.isqrt(n) // 4))
+    turned = turn(sample_x)
+    centres = k_means(turned, lists)
+    probes = probes_for(centres, sample_x, turned, turn(sample_x[:256], True), k, recall)
+    shared = spark.sparkContext.broadcast((centres, sample_ids[:seeds], sample_x[:seeds]))  # bounded by most_lists and seeds
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each vector's own list, and for each list that a query scans."""
@@ -117,7 +137,7 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, probes: int = 24
             own = np.argmax(turn(x) @ centres.T - half, 1)
             is_query = ids % every == 0
             q = x[is_query]
-            near = np.argsort(half - turn(q, True) @ centres.T, 1, kind="stable")[:, : min(probes, lists)]
+            near = np.argsort(half - turn(q, True) @ centres.T, 1, kind="stable")[:, :probes]
             scores = q @ seed_x.T
             scores[ids[is_query][:, None] == seed_ids[None, :]] = -np.inf
             kth = np.sort(scores, 1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
