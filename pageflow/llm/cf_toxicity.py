@@ -12,14 +12,14 @@ Inputs are the texts alone. Null and empty texts get the score of the bias. Rows
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, store, text_bytes
+from .common import Memo, filtered, scored, store, text_bytes
 from .labelled import training_rows
 
 IDENTITY_TERMS = (
@@ -111,22 +111,32 @@ def fit(texts: list[bytes], y: np.ndarray, *, terms: Iterable[str] = IDENTITY_TE
     return w, bias
 
 
-def score_texts(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """doc_id and score. The model has a fixed size (2 ** BITS weights), so it is broadcast."""
+def scorer(docs: DataFrame, weights: np.ndarray, bias: float):
+    """A function from a batch with texts to their scores, for use on executors. The model has a fixed size (2 ** BITS weights), so it is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
     key = ("toxic", id(shared), zlib.crc32(weights.tobytes()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batch: pa.RecordBatch) -> np.ndarray:
         w, b = shared.value
         kept = store()
         if kept.get("toxic", (None,))[0] != key:
             kept["toxic"] = key, Memo(lambda word: float(w[features(word)].sum()), 400_000)
         get = kept["toxic"][1].__getitem__
-        for batch in batches:
-            logits = np.fromiter((sum(map(get, words(t))) for t in text_bytes(batch)), float, batch.num_rows) + b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))))], ["doc_id", "score"])
+        logits = np.fromiter((sum(map(get, words(t))) for t in text_bytes(batch)), float, batch.num_rows) + b
+        return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+
+    return score
+
+
+def score_texts(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
+    """doc_id and score of every whole text; no shuffle."""
+    return scored(docs, scorer(docs, weights, bias))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+def keep(docs: DataFrame, weights: np.ndarray, bias: float, *, threshold: float) -> DataFrame:
+    """The rows that score below the threshold, all columns as they are; no shuffle."""
+    score = scorer(docs, weights, bias)
+    return filtered(docs, lambda batch: score(batch) < threshold)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, most: int = 16384, parts: int = 4, held: int = 2, **options) -> tuple[np.ndarray, float]:

@@ -8,7 +8,7 @@ import shutil
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +73,26 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def scored(docs: DataFrame, score: Callable) -> DataFrame:
+    """doc_id and score, by a function from a batch to scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch), pa.float64())], ["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def filtered(docs: DataFrame, passes: Callable) -> DataFrame:
+    """The rows whose batch position passes, all columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(column: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; a null id counts as the empty text."""
     value = F.col(column) if isinstance(column, str) else column

@@ -113,6 +113,11 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: int = 3,
     return out.select(*kept, "source_size", "target", "copies", "taken")
 
 
+def repeated(mixed: DataFrame) -> DataFrame:
+    """Each row `copies` times."""
+    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("_copy")
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every document."""
     return mix(docs.select("doc_id", "source", word_count("text").alias("size")), **options).drop("source")

@@ -12,14 +12,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import store, text_bytes
+from .common import filtered, scored, text_bytes
 from .labelled import training_rows
 
 BITS, FACTORS = 16, 8
@@ -114,15 +113,24 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = 12288, parts: int =
     return Machine().fit([t.encode() for t in rows["text"]], rows["y"].to_numpy(float), **options)
 
 
-def score_texts(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id and score of every whole text; no shuffle."""
+def scorer(docs: DataFrame, machine: Machine):
+    """A function from a batch with texts to their scores, for use on executors."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batch: pa.RecordBatch) -> np.ndarray:
         model = Machine.__new__(Machine)
         model.bias, model.w, model.v = shared.value
-        for batch in batches:
-            scores = np.fromiter((model.score(t) for t in text_bytes(batch)), float, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+        return np.fromiter((model.score(t) for t in text_bytes(batch)), float, batch.num_rows)
+
+    return score
+
+
+def score_texts(docs: DataFrame, machine: Machine) -> DataFrame:
+    """doc_id and score of every whole text; no shuffle."""
+    return scored(docs, scorer(docs, machine))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+def keep(docs: DataFrame, machine: Machine, *, threshold: float) -> DataFrame:
+    """The rows that score at least the threshold, all columns as they are; no shuffle."""
+    score = scorer(docs, machine)
+    return filtered(docs, lambda batch: score(batch) >= threshold)

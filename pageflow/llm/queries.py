@@ -29,6 +29,12 @@ def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(m.score_texts(docs, m.train(docs, table(spark, sf_dir, "labels"))), 5, 0)
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import dart_minhash as m
+
+    return m.classes(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op4_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mcd_rules as m
 
@@ -76,5 +82,5 @@ def op10_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_brown_classes, op2_factorisation_machine, op4_mcd_outliers, op5_counterfactual_toxicity, op6_seekable_frames, op7_certified_packing, op8_heap_merge_counts, op9_adaptive_scan, op10_entropy_balancing)}
+QUERIES = {f.__name__: f for f in (op1_brown_classes, op2_factorisation_machine, op3_dart_minhash, op4_mcd_outliers, op5_counterfactual_toxicity, op6_seekable_frames, op7_certified_packing, op8_heap_merge_counts, op9_adaptive_scan, op10_entropy_balancing)}
 ORACLE_SQL: dict[str, str] = {}
