@@ -7,8 +7,8 @@ those with one coordinate the earliest makes the signature, so the cost is that
 shingles times coordinates. If a coordinate stays empty the rank limit is doubled.
 
 Signatures are cut into bands; texts that share a band are candidates. A band shared by many is not expanded into pairs:
-in each round every text is compared with one leader of the bands it shares (in the first round the text that shares
-most bands with others, then by a changing hash), until no round finds a link or `rounds` are over. Links are verified:
+in each round every text is compared with leaders of the bands it shares and isn't yet linked to (at first one, the text
+that shares most bands with others; then up to three, by a changing hash), until no round finds a link or `rounds` are over. Links are verified:
 weighted Jaccard similarity of the two bags (by 32-bit hashes of the counted shingles) at least `similar`. Classes are
 the connected components of links and exact copies. Exact copies are joined first, by the digest of the text.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, Scratch, store, text_bytes
@@ -138,7 +138,7 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int = 4, rounds: int = 6) -> DataFrame:
+def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int = 4, rounds: int = 8) -> DataFrame:
     """doc_id, digest, class_id and stays of every document."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -188,7 +188,8 @@ def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int =
             met = ends.filter(F.coalesce("label", "node") != F.coalesce("leading", "leader")).select("node", "leader", "met")
             pair = [F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")]
             met = met.select("*", *pair).join(tested.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), ["x", "y"], "left_anti")
-        best = met.groupBy("node").agg(F.max_by("leader", F.struct("met", F.xxhash64("leader"), "leader")).alias("leader"))
+        nearest = Window.partitionBy("node").orderBy(F.desc("met"), F.xxhash64("leader"), "leader")  # a text has as many leaders as bands at most
+        best = met.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= (3 if k_round else 1)).select("node", "leader")
         ends = best.join(held.toDF("leader", "other"), "leader").join(held, "node").select("node", "leader", "bag", "other")
         judged = scratch.save(ends.mapInArrow(compare, "a long, b long, near boolean"), f"judged{k_round}")
         tested = judged if tested is None else tested.unionByName(judged)
