@@ -34,14 +34,6 @@ def valid(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long"), e.cast("array<double>").alias("embedding"))
 
 
-def dot(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, components added in order, so equal vectors have equal scores."""
-    out = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        out += x[:, j] * q[j]
-    return out
-
-
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=False)]
@@ -70,37 +62,39 @@ def probes_for(centres: np.ndarray, x: np.ndarray, x_turned: np.ndarray, q_turne
     return int(np.quantile(np.take_along_axis(place, own[best], 1), recall)) + 1 if best.size else 1
 
 
-def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, own: int, q: np.ndarray, q_turned: np.ndarray, to_beat: float, k: int, block: int, width: float) -> list[tuple[float, int]]:
-    """The k best (score, vec_id) of the candidates that no test gave up."""
-    whole, best = turned.shape[1], []
-    base = float(q_turned @ q_turned)
-    for begin, end in ((0, 256), (256, len(ids))):
-        alive = np.arange(begin, min(end, len(ids)))
-        part = np.zeros(len(alive))
-        for at in range(0, whole, block):
-            if not len(alive):
-                break
-            to = min(at + block, whole)
-            gap = turned[alive, at:to] - q_turned[at:to]
-            part += (gap * gap).sum(1)
-            limit = to_beat * (1 + 1e-9) + 1e-12
-            if to < whole:
-                limit *= to / whole * (1 + width / math.sqrt(to)) ** 2
-            keep = part <= limit
-            alive, part = alive[keep], part[keep]
-        alive = alive[ids[alive] != own]
-        if len(alive):
-            scores = dot(x[alive], q)
-            best += zip(-scores, ids[alive].tolist(), strict=True)
-            best = sorted(best)[:k]
-            if len(best) == k:
-                # distance of the k-th best: |q|^2 + (largest squared norm) - 2 score; the norm is in turned row alike
-                far = base + float((turned[alive[0]] ** 2).sum()) + 2 * best[-1][0]
-                to_beat = min(to_beat, far)
-    return [(-s, i) for s, i in best]
-
-
-def search(vectors: DataFrame, *, every: int = 20, k: int = 20, recall: float = 0.97, most_lists: int = 4096, sample: int = 16384, seeds: int = 4096, block: int = 16, width: float = 2.1, per_group: int = 8192) -> DataFrame:
+def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, own: np.ndarray, q: np.ndarray, q_turned: np.ndarray, to_beat: np.ndarray, k: int, block: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, candidate position, score) of the k best of each query among those that no test gave up.
+
+    While many pairs of the given queries and candidates are alive, a block is one matrix product; then only pairs that
+    are still alive are touched.
+    """
+    whole = turned.shape[1]
+    limit = lambda d: (to_beat * (1 + 1e-9) + 1e-9) * (d / whole * (1 + width / math.sqrt(d)) ** 2 if d < whole else 1.0)
+    part, alive, at = np.zeros((len(q), len(ids))), ids[None, :] != own[:, None], 0
+    while at < whole and alive.mean() > 0.125:  # many pairs alive: a matrix product over the block's columns
+        a, b = q_turned[:, at : at + block], turned[:, at : at + block]
+        part += (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+        at = min(at + block, whole)
+        alive &= part <= limit(at)[:, None] + 1e-9
+    at_q, at_x = np.nonzero(alive)
+    part = part[at_q, at_x]
+    while at < whole:
+        to = min(at + block, whole)
+        gap = turned[at_x, at:to] - q_turned[at_q, at:to]
+        part += np.einsum("ij,ij->i", gap, gap)
+        keep = part <= limit(to)[at_q] + 1e-9
+        at_q, at_x, part, at = at_q[keep], at_x[keep], part[keep], to
+    scores = np.zeros(len(at_q))
+    for j in range(x.shape[1]):  # double precision, components in order, so equal vectors have equal scores
+        scores += x[at_x, j] * q[at_q, j]
+    order = np.lexsort((ids[at_x], -scores, at_q))
+    at_q, at_x, scores = at_q[order], at_x[order], scores[order]
+    begins = np.searchsorted(at_q, at_q, side="left")
+    best = np.arange(len(at_q)) - begins < k
+    return at_q[best], at_x[best], scores[best]
+
+
+def search(vectors: DataFrame, *, every: int = 20, k: int = 20, recall: float = 0.95, most_lists: int = 4096, sample: int = 16384, seeds: int = 4096, block: int = 16, width: float = 2.1, per_group: int = 8192) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found for each row whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -164,9 +158,12 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, recall: float =
             ids, x = rows["vec_id"].to_numpy(), np.stack(rows["x"].to_numpy())
             turned, q = turn(x), np.stack(queries["x"].to_numpy())
             q_turned = turn(q, True)
-            for at, (own, bound) in enumerate(zip(queries["vec_id"], queries["bound"], strict=True)):
-                found += [(own, i, s) for s, i in scan(ids, x, turned, own, q[at], q_turned[at], bound, k, block, width)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            own, bound = queries["vec_id"].to_numpy(), queries["bound"].to_numpy()
+            for at in range(0, len(q), 256):
+                some = slice(at, at + 256)
+                of, to, score = scan(ids, x, turned, own[some], q[some], q_turned[some], bound[some], k, block, width)
+                found.append(pd.DataFrame({"query_id": own[some][of], "vec_id": ids[to], "score": score}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
     keys = ["list", "row_block", "query_block"]
     near = base.groupBy(*keys).cogroup(asked.groupBy(*(f"in_{c}" for c in keys))).applyInPandas(one, "query_id long, vec_id long, score double")
