@@ -7,10 +7,12 @@ those with one coordinate the earliest makes the signature, so the cost is that
 shingles times coordinates. If a coordinate stays empty the rank limit is doubled.
 
 Signatures are cut into bands; texts that share a band are candidates. A band shared by many is not expanded into pairs:
-in each round every text is compared with leaders of the bands it shares and isn't yet linked to (at first one, the text
-that shares most bands with others; then up to three, by a changing hash), until no round finds a link or `rounds` are over. Links are verified:
-weighted Jaccard similarity of the two bags (by 32-bit hashes of the counted shingles) at least `similar`. Classes are
-the connected components of links and exact copies. Exact copies are joined first, by the digest of the text.
+first every text is compared with the leader it meets in most bands (the leader of a band is its text that shares most
+bands with others). Then, in bands that still hold several components, members that stand for their components are
+compared with a leader, for several hashed draws at once, until no draw finds a link or `rounds` are over. Links are
+verified: weighted Jaccard similarity of the two bags (by 32-bit hashes of the counted shingles) at least `similar`.
+Classes are the connected components of links and exact copies. Exact copies are joined first, by the digest of the text.
+The draws are random, so in large groups of texts that are just similar enough a link may be missed; see the README.
 
 Null and empty texts: no shingles; they are copies of each other. Repeated rows and ids are separate documents. class_id
 is the smallest doc_id of the class (null only if all are), `stays` marks one document of each class. An empty table
@@ -138,7 +140,7 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int = 4, rounds: int = 8) -> DataFrame:
+def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int = 4, rounds: int = 3, draws: int = 4) -> DataFrame:
     """doc_id, digest, class_id and stays of every document."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -179,25 +181,33 @@ def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
     tested = labels = None
-    for k_round in range(rounds):
-        own = banded.join(popular, "node") if k_round == 0 else banded.withColumn("pop", F.xxhash64("node", "key", F.lit(k_round)))
-        leaders = own.groupBy("key").agg(F.max_by("node", F.struct("pop", "node")).alias("leader"))
-        met = banded.join(leaders, "key").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("met"))
-        if labels is not None:
-            ends = met.join(labels.toDF("node", "label"), "node", "left").join(labels.toDF("leader", "leading"), "leader", "left")
-            met = ends.filter(F.coalesce("label", "node") != F.coalesce("leading", "leader")).select("node", "leader", "met")
-            pair = [F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")]
-            met = met.select("*", *pair).join(tested.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), ["x", "y"], "left_anti")
-        nearest = Window.partitionBy("node").orderBy(F.desc("met"), F.xxhash64("leader"), "leader")  # a text has as many leaders as bands at most
-        best = met.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= (3 if k_round else 1)).select("node", "leader")
+    active = banded.select("key", "node", F.col("node").alias("comp"))
+    for step in range(rounds):
+        if step == 0:
+            leaders = banded.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("pop", "node")).alias("leader"))
+            met = banded.join(leaders, "key").filter("node <> leader")
+        else:
+            # One member of each component stands for it in a band, by a hash that changes with the seed.
+            seeds = F.explode(F.array(*(F.lit(step * draws + k) for k in range(draws)))).alias("seed")
+            by = F.struct(F.xxhash64("node", "key", "seed").alias("h"), "node")
+            stand = active.select("*", seeds).groupBy("key", "comp", "seed").agg(F.max(by).alias("by"))
+            leaders = stand.groupBy("key", "seed").agg(F.max(F.struct("by", "comp")).alias("lead"))
+            met = stand.join(leaders, ["key", "seed"]).filter(F.col("comp") != F.col("lead.comp")).select(F.col("by.node").alias("node"), F.col("lead.by.node").alias("leader"))
+        met = met.groupBy("node", "leader").agg(F.count("*").alias("met"))
+        nearest = Window.partitionBy("node").orderBy(F.desc("met"), F.xxhash64("leader"), "leader")  # bands x draws leaders at most
+        best = met.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= (1 if step == 0 else draws)).select("node", "leader")
         ends = best.join(held.toDF("leader", "other"), "leader").join(held, "node").select("node", "leader", "bag", "other")
-        judged = scratch.save(ends.mapInArrow(compare, "a long, b long, near boolean"), f"judged{k_round}")
-        tested = judged if tested is None else tested.unionByName(judged)
-        if not judged.filter("near").take(1):
-            if k_round or not judged.take(1):
+        judged = scratch.save(ends.mapInArrow(compare, "a long, b long, near boolean"), f"judged{step}").filter("near").select("a", "b")
+        if not judged.take(1):
+            if step:
                 break
             continue
-        labels = components(tested.filter("near"), scratch, f"labels{k_round}")
+        tested = judged if tested is None else tested.unionByName(judged)
+        labels = components(tested, scratch, f"labels{step}")
+        if step + 1 < rounds:
+            named = banded.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+            several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+            active = scratch.save(named.join(several, "key", "left_semi"), f"active{step}")
     rows_ = signed.select("row", "doc_id", "digest").join(texts.select("digest", "node"), "digest")
     if labels is not None:
         rows_ = rows_.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
