@@ -112,7 +112,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
             table[a] -= r
             table[:, a] -= l
             table[a, a] -= loop
-            rows, columns, middle = table.sum(1), table.sum(0), np.diag(table)
+            rows, columns, middle = table.sum(1) + l, table.sum(0) + r, np.diag(table)  # of all other tokens
             gain = (_f(table + r) - _f(table)).sum(1) + (_f(table + l[:, None]) - _f(table)).sum(0)
             gain += _f(middle + r + l + loop) - _f(middle + r) - _f(middle + l) + _f(middle)
             gain -= _f(rows + r.sum() + loop) - _f(rows) + _f(columns + l.sum() + loop) - _f(columns)
