@@ -42,21 +42,79 @@ def vertical_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?s)([!?]+|.)"), F.lit(1))
 
 
+# Signs that may not begin a line, and signs that may not end one.
+HEAD_FORBIDDEN = ")]}〉》」』】〕’”.。,，、!！?？…⋯‥·:;~〜‼⁉♪♬♡♥☆★―—–"
+TAIL_FORBIDDEN = "([{〈《「『【〔‘“"
+
+
+def _fill(words: Column, width: int, glue=lambda w: F.lit(" ")) -> Column:
+    """Array of lines: each word joins the line by glue(word) while it stays within `width` signs, else it starts a line."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+
+    def step(acc: Column, w: Column) -> Column:
+        longer = F.concat(acc["line"], glue(w), w)
+        return (
+            F.when(acc["line"] == "", F.struct(acc["done"].alias("done"), w.alias("line")))
+            .when(F.length(longer) <= width, F.struct(acc["done"].alias("done"), longer.alias("line")))
+            .otherwise(F.struct(F.concat(acc["done"], F.array(acc["line"])).alias("done"), w.alias("line")))
+        )
+
+    return F.aggregate(words, start, step, lambda acc: F.when(acc["line"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["line"]))))
+
+
+def _by_paragraph(text: Column, lines) -> Column:
+    return F.array_join(F.flatten(F.transform(F.split(text, "\n"), lines)), "\n")
+
+
 def wrap_greedy(text: Column, width: int) -> Column:
     """Lines of at most `width` signs, words kept whole; paragraphs end at newlines, empty ones go."""
+    return _by_paragraph(text, lambda p: _fill(F.filter(F.split(p, " "), lambda w: w != ""), width))
+
+
+def wrap_tokens(text: Column, width: int) -> Column:
+    """As wrap_greedy, but runs of middle dots and of ! and ? are tokens of their own that join without a space."""
+    glue = lambda w: F.when(w.rlike("^(·+|[!?⋯]+)$"), "").otherwise(" ")
+    return _by_paragraph(text, lambda p: _fill(F.regexp_extract_all(p, F.lit(r"(·+|[!?]+|\S+)"), F.lit(1)), width, glue))
+
+
+def wrap_aggressive(text: Column, width: int) -> Column:
+    """Paragraphs ignored: every newline is a space."""
+    return F.array_join(_fill(F.filter(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), lambda w: w != ""), width), "\n")
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums of an array of lengths."""
+    start = F.struct(F.array().cast("array<int>").alias("sums"), F.lit(0).alias("n"))
+    return F.aggregate(lengths, start, lambda acc, x: F.struct(F.concat(acc["sums"], F.array(acc["n"] + x)).alias("sums"), (acc["n"] + x).alias("n")), lambda acc: acc["sums"])
+
+
+def midword_breaks(source: Column, wrapped: Column) -> Column:
+    """How many line ends of `wrapped` fall inside a word of `source`; places are counted in signs other than spaces."""
+    words = F.transform(F.split(source, "[ \n]"), lambda w: F.length(w))
+    gaps = F.slice(_running(words), F.lit(1), F.size(words) - 1)
+    lines = F.filter(F.split(wrapped, "\n"), lambda x: F.trim(x) != "")
+    ends = _running(F.transform(lines, lambda x: F.length(F.replace(x, F.lit(" "), F.lit("")))))
+    return F.when(F.size(lines) < 2, 0).otherwise(F.size(F.filter(F.slice(ends, F.lit(1), F.greatest(F.lit(0), F.size(lines) - 1)), lambda e: ~F.array_contains(gaps, e))))
 
-    def paragraph(p: Column) -> Column:
-        words = F.filter(F.split(p, " "), lambda w: w != "")
-        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
 
-        def step(acc: Column, w: Column) -> Column:
-            fits = F.length(acc["line"]) + 1 + F.length(w) <= width
-            return (
-                F.when(acc["line"] == "", F.struct(acc["done"].alias("done"), w.alias("line")))
-                .when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["line"], F.lit(" "), w).alias("line")))
-                .otherwise(F.struct(F.concat(acc["done"], F.array(acc["line"])).alias("done"), w.alias("line")))
-            )
+def line_penalty(line: Column, line_width: Column, width: float, ratio: float, is_last: Column) -> Column:
+    """How far a line is from the wanted share of the width, with surcharges for forbidden ends and a lonely last line."""
+    t = F.trim(line)
+    wanted = F.when(is_last, 0.68).otherwise(ratio)
+    share = line_width / F.lit(float(max(width, 1)))
+    off = F.when(share < wanted, (wanted - share) * 18.0).otherwise((share - wanted) * 7.0)
+    head = F.when(F.lit(HEAD_FORBIDDEN).contains(F.left(t, F.lit(1))), 8.0).otherwise(0.0)
+    tail = F.when(F.lit(TAIL_FORBIDDEN).contains(F.right(t, F.lit(1))), 8.0).otherwise(0.0)
+    lonely = F.when(is_last & (visible_length(t) <= 2), 5.0).otherwise(0.0)
+    return F.when(t == "", 100.0).otherwise(off + head + tail + lonely)
 
-        return F.aggregate(words, start, step, lambda acc: F.when(acc["line"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["line"]))))
 
-    return F.array_join(F.flatten(F.transform(F.split(text, "\n"), paragraph)), "\n")
+def wrap_candidates(text: Column, ratio: Column) -> Column:
+    """Names of the wraps to try, in order, for a text in a box of the given height-to-width ratio."""
+    n = visible_length(text)
+    spaced = text.contains(" ") & (ratio <= 1.0) & (n >= 8)
+    more = F.array(
+        F.when(spaced, "balanced_2"), F.when(spaced & ((n >= 14) | (ratio <= 0.75)), "balanced_3"), F.when(spaced & (n >= 24) & (ratio <= 0.58), "balanced_4"),
+        *map(F.lit, ("greedy", "tokens", "aggressive", "clusters")),
+    )
+    return F.array_compact(more)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box, iou
+from ..functions.geometry import box, inside, iou
 
 SIDES = ("x1", "y1", "x2", "y2")
 
@@ -85,3 +85,19 @@ def match_bubbles(boxes: DataFrame) -> DataFrame:
 
 def counts_by(boxes: DataFrame, *keys: str | Column) -> DataFrame:
     return boxes.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def match_free(boxes: DataFrame, matched: DataFrame) -> DataFrame:
+    """page, bubble, txt: each bubble without a text takes, in its order, the first free text inside it not yet taken."""
+    b = boxes.filter("cls = 'bubble'").join(matched.select("page", F.col("bubble").alias("bid")), ["page", "bid"], "left_anti")
+    b = b.select("page", F.col("bid").alias("bubble"), *(F.col(c).alias(f"b_{c}") for c in SIDES))
+    t = boxes.filter("cls = 'free_text'").select("page", F.col("bid").alias("txt"), *(F.col(c).alias(f"t_{c}") for c in SIDES))
+    held = b.join(t, "page").filter(inside(box("t_"), box("b_")))
+    queue = held.groupBy("page", "bubble").agg(F.array_sort(F.collect_list("txt")).alias("texts"))
+    queue = queue.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("bubble", "texts"))).alias("queue"))
+    fold = F.aggregate(
+        "queue",
+        F.array().cast("array<struct<bubble:bigint,txt:bigint>>"),
+        lambda done, q: F.concat(done, F.transform(F.slice(F.array_except(q["texts"], F.transform(done, lambda d: d["txt"])), 1, 1), lambda x: F.struct(q["bubble"].cast("long").alias("bubble"), x.cast("long").alias("txt")))),
+    )
+    return queue.select("page", F.inline(fold))

@@ -53,3 +53,8 @@ def history(conversations: DataFrame, exchanges: int = 6) -> DataFrame:
     """conv_id, turn, and number and signs of the turns remembered before it."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2 * exchanges, -1)
     return conversations.select("conv_id", "turn", F.count("*").over(before).alias("remembered"), F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).alias("signs"))
+
+
+def count_audit(applied: DataFrame) -> DataFrame:
+    """page_num, asked, answered and short: how many texts of a page have no line in the response."""
+    return applied.groupBy("page_num").agg(F.count("*").alias("asked"), F.count("answer").alias("answered"), (F.count("*") - F.count("answer")).alias("short"))

@@ -6,14 +6,79 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _islands(on: DataFrame, keys: list[str], merge_gap: int, min_size: int) -> DataFrame:
+    """keys, start, stop of the runs of positions; runs at most `merge_gap` apart are one, short ones go afterwards."""
+    order = Window.partitionBy(*keys).orderBy("pos")
+    on = on.withColumn("_fresh", F.when(F.col("pos") - F.lag("pos").over(order) - 1 <= merge_gap, 0).otherwise(1))
+    on = on.withColumn("_band", F.sum("_fresh").over(order))
+    found = on.groupBy(*keys, "_band").agg(F.min("pos").alias("_start"), (F.max("pos") + 1).alias("_stop"))
+    return found.filter(F.col("_stop") - F.col("_start") >= min_size).drop("_band")
+
+
 def bands(profile: DataFrame, *, threshold: float, merge_gap: int = 2, min_size: int = 3) -> DataFrame:
-    """vec_id, start, stop of runs above the threshold; runs at most `merge_gap` apart are one, short ones go afterwards."""
-    order = Window.partitionBy("vec_id").orderBy("pos")
-    on = profile.filter(F.col("val") > threshold)
-    on = on.withColumn("fresh", F.when(F.col("pos") - F.lag("pos").over(order) - 1 <= merge_gap, 0).otherwise(1))
-    on = on.withColumn("band", F.sum("fresh").over(order))
-    found = on.groupBy("vec_id", "band").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"))
-    return found.filter(F.col("stop") - F.col("start") >= min_size).select("vec_id", "start", "stop")
+    """vec_id, start, stop of runs above the threshold."""
+    return _islands(profile.filter(F.col("val") > threshold), ["vec_id"], merge_gap, min_size).withColumnsRenamed({"_start": "start", "_stop": "stop"})
+
+
+def refined_bands(profile: DataFrame, cross: int) -> DataFrame:
+    """bands() cut again at 40 % of their own peak, where that gives two parts or more and the largest is 42 % of the band."""
+    coarse = bands(profile, threshold=max(2.0, 0.03 * cross))
+    inside = profile.join(coarse, "vec_id").filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop")))
+    cut = F.greatest(F.lit(2.0), 0.4 * F.max("val").over(Window.partitionBy("vec_id", "start")))
+    keys = ["vec_id", "start", "stop"]
+    parts = _islands(inside.withColumn("_cut", cut).filter("val > _cut"), keys, 1, 3)
+    parts = parts.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_start").alias("start"), F.col("_stop").alias("stop"))).alias("parts"))
+    largest = F.array_max(F.transform("parts", lambda p: p["stop"] - p["start"]))
+    good = (F.size("parts") >= 2) & (largest >= 0.42 * (F.col("stop") - F.col("start")))
+    own = F.array(F.struct("start", "stop"))
+    return coarse.join(parts, keys, "left").select("vec_id", F.inline(F.when(F.coalesce(good, F.lit(False)), F.col("parts")).otherwise(own)))
+
+
+def band_summary(profile: DataFrame, cross: int) -> DataFrame:
+    """vec_id, n, thickness, pitch, score over the refined bands of at least 55 % of the widest.
+
+    n bands with median thickness and median distance of centres; score is n times 1/2 to 1, by how even they are.
+    Profiles without bands: 0, 0, 0 and -1.
+    """
+    b = refined_bands(profile, cross).withColumn("size", F.col("stop") - F.col("start"))
+    b = b.withColumn("widest", F.max("size").over(Window.partitionBy("vec_id"))).filter(F.col("size") >= F.col("widest") * 0.55)
+    centre = (F.col("start") + F.col("stop")) / 2
+    b = b.withColumn("gap", centre - F.lag(centre).over(Window.partitionBy("vec_id").orderBy("start")))
+    even = 1 - F.least(F.lit(1.0), F.stddev_pop("size") / F.greatest(F.avg("size"), F.lit(1e-6)))
+    s = b.groupBy("vec_id").agg(F.count("*").alias("n"), F.median("size").alias("thickness"), F.coalesce(F.median("gap"), F.lit(0.0)).alias("pitch"), (F.count("*") * (0.5 + 0.5 * even)).alias("score"))
+    return profile.select("vec_id").distinct().join(s, "vec_id", "left").select("vec_id", *(F.coalesce(c, F.lit(d)).alias(c) for c, d in (("n", 0), ("thickness", 0.0), ("pitch", 0.0), ("score", -1.0))))
+
+
+def widest_average_band(profile: DataFrame, k: int = 7, share: float = 0.15) -> DataFrame:
+    """vec_id, start, stop of the widest run of the moving average above `share` of its peak; the first of equals."""
+    smooth = moving_average(profile, k).withColumn("peak", F.max("mean").over(Window.partitionBy("vec_id"))).filter(F.col("mean") > F.col("peak") * share)
+    found = _islands(smooth, ["vec_id"], 0, 1)
+    place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc(F.col("_stop") - F.col("_start")), "_start"))
+    return found.withColumn("_place", place).filter("_place = 1").select("vec_id", F.col("_start").alias("start"), F.col("_stop").alias("stop"))
+
+
+# Style names in the order of the classes, and the least confidence that each needs.
+STYLES = {"standard": 0.0, "pop": 0.46, "shouting": 0.42, "handwriting": 0.40, "angry": 0.38, "cute": 0.38, "scared": 0.38, "embarrassment": 0.36, "narration": 0.34}
+
+
+def choose_style(rows: DataFrame, *, low: float = 0.24, margin: float = 0.04, expressive: float = 0.55, free_text: float = 0.70, enabled: bool = True) -> DataFrame:
+    """rows (best, top, margin, angle, expressive, cls) with `style`: the predicted one, or the fallback of its class.
+
+    Free text falls back to narration, other text to standard. Predictions outside the known styles count as standard.
+    """
+    names = F.array(*map(F.lit, STYLES))
+    least = F.array(*(F.lit(v) for v in STYLES.values()))
+    predicted = F.coalesce(F.get(names, F.col("best").cast("int")), F.lit("standard"))
+    fallback = F.when(F.col("cls") == "free_text", "narration").otherwise("standard")
+    weak_free = (F.col("cls") == "free_text") & (F.col("top") < free_text)
+    weak = (
+        F.coalesce(F.col("expressive") < expressive, F.lit(False))
+        | (F.col("top") < low)
+        | (F.col("top") < F.coalesce(F.get(least, F.col("best").cast("int")), F.lit(low)))
+        | ((F.col("margin") < margin) & (F.abs("angle") <= 15.0))
+        | weak_free
+    )
+    return rows.withColumn("style", F.when(predicted == "standard", fallback).when(weak if enabled else weak_free, fallback).otherwise(predicted))
 
 
 def moving_average(profile: DataFrame, k: int = 7) -> DataFrame:

@@ -1 +1,3 @@
-"""Assembled queries."""
+"""Query plans."""
+
+from . import catalogue, more  # noqa: F401  registers the queries

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import boxes, dialogue, events, profiles, state
+from ..sources import pages
 
 FLAGSHIP = "bubble_match"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,7 +80,7 @@ def fx_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_no, CAST(floor((page_no - 1) / 50) AS BIGINT) AS batch_no, page_id, url FROM (SELECT row_number() OVER (ORDER BY url, page_id) AS page_no, page_id, url FROM pages)")
 def page_listing_batches(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url")
-    p = p.withColumn("page_no", F.row_number().over(Window.orderBy("url", "page_id")).cast("long"))
+    p = pages.numbered(p, "url", "page_id")
     return p.select("page_no", F.floor((F.col("page_no") - 1) / 50).alias("batch_no"), "page_id", "url")
 
 
