@@ -34,3 +34,15 @@ def test_equals_oracle(spark, duck, name):
     assert len(a) == len(b)
     for x, y in zip(a, b, strict=True):
         assert x == pytest.approx(y, abs=1e-9) if all(isinstance(v, int | float) for v in y) else x == y
+
+
+def test_glyphs_of_whole_texts(spark, duck):
+    chains, modulus = {"a": "abc", "b": "bac", "c": "cba"}, {"a": 0, "b": 1, "c": 2}
+    want = set()
+    for doc_id, text in duck.execute("SELECT doc_id, text FROM documents").fetchall():
+        font = "abc"[doc_id % 3]
+        for sign in set(text or ""):
+            able = [f for f in chains[font] if ord(sign) % 3 != modulus[f] and ord(sign) % 7 > 0]
+            want.add((doc_id, sign, font if sign == " " or not able else able[0]))
+    got = [tuple(r) for r in catalogue.QUERIES["glyph_fallback"](spark, DATA).select("doc_id", "sign", "drawn_by").collect()]
+    assert len(got) == len(want) and set(got) == want
