@@ -6,7 +6,8 @@ sample; every row is indexed. A query scans its nearest lists (as many as a brut
 asks for), in blocks of `block` rotated dimensions: after each block
 the partial distance, scaled to all dimensions, is tested against the distance to beat, and candidates whose distance is
 very likely larger are given up (the test of width `width`). Survivors are scored exactly, in double precision on the
-original vectors. The distance to beat starts from the query's k-th best in the sample, which are rows of the table.
+original vectors. The distance to beat starts from the query's k-th best in the sample. These k best are rows of the table
+and candidates too, whether their lists are scanned or not, so a query finds k rows wherever there are so many.
 
 Lists and the queries that scan them are dealt in blocks of at most `per_group` rows, so a common vector is no single
 task. Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part.
@@ -143,6 +144,24 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, recall: float =
             vector = pa.ListArray.from_arrays(pa.array(np.arange(0, both.size + 1, d), pa.int32()), pa.array(both.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(flags), pa.array(bounds), vector], ["vec_id", "list", "query", "bound", "x"])
 
+    def best_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best sampled rows of each query, which set its bound."""
+        _, seed_ids, seed_x = shared.value
+        for batch in batches:
+            found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+            for own, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                q = np.array(vector)
+                rough = seed_x @ q
+                rough[seed_ids == own] = -np.inf
+                kth = np.sort(rough)[-min(k, len(rough))]
+                at = np.flatnonzero((rough >= kth - 1e-9 * (1 + abs(kth))) & (rough > -np.inf))
+                scores = np.zeros(len(at))
+                for j in range(d):  # as in scan, so that the same pair has the same score
+                    scores += seed_x[at, j] * q[j]
+                order = np.lexsort((seed_ids[at], -scores))[:k]
+                found.append((np.full(len(order), own), seed_ids[at][order], scores[order]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+
     indexed = scratch.save(rows.mapInArrow(assign, "vec_id long, list long, query boolean, bound double, x array<double>"), "index")
     sizes = indexed.groupBy("list").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(c, 1).otherwise(0)) / per_group)).cast("int").alias(a) for a, c in (("row_blocks", ~F.col("query")), ("query_blocks", F.col("query")))))
     dealt = indexed.join(F.broadcast(sizes), "list")  # a row for each list, of which there are at most most_lists
@@ -167,5 +186,9 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, recall: float =
 
     keys = ["list", "row_block", "query_block"]
     near = base.groupBy(*keys).cogroup(asked.groupBy(*(f"in_{c}" for c in keys))).applyInPandas(one, "query_id long, vec_id long, score double")
+    seeded = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(best_seeds, "query_id long, vec_id long, score double")
+    near = near.withColumn("seeded", F.lit(False)).union(seeded.withColumn("seeded", F.lit(True)))
+    same = ["query_id", "vec_id", "score"]  # a row that was both scanned and sampled counts once, repeated rows as often as they are
+    near = near.withColumn("nth", F.row_number().over(Window.partitionBy(*same, "seeded").orderBy("seeded"))).dropDuplicates([*same, "nth"])
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

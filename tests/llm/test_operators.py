@@ -202,6 +202,21 @@ def test_search(spark):
     assert adaptive_scan.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_search_gives_every_query_all_its_rows(spark):
+    """The bound comes from sampled rows in lists that a query may not scan; these rows are found all the same."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 32))
+    x[::3] = x[1] * 2  # a third are copies, the best of many queries
+    got = collections.defaultdict(list)
+    for r in adaptive_scan.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), recall=0.5).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(0, 2000, 20))
+    for q, found in got.items():
+        s = x @ x[q]
+        assert [r for r, _, _ in sorted(found)] == list(range(1, 21)) and len({i for _, i, _ in found}) == 20
+        assert sorted((v for _, _, v in found), reverse=True) == pytest.approx(np.sort(np.delete(s, q))[::-1][:20])
+
+
 def test_mixing(spark, docs, none, rows):
     got = entropy_mix.mix_documents(docs).collect()
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
