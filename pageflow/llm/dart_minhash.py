@@ -9,10 +9,11 @@ shingles times coordinates. If a coordinate stays empty the rank limit is double
 Signatures are cut into bands; texts that share a band are candidates. A band shared by many is not expanded into pairs:
 first every text is compared with the leader it meets in most bands (the leader of a band is its text that shares most
 bands with others). Then, in bands that still hold several components, members that stand for their components are
-compared with a leader, for several hashed draws at once, until no draw finds a link or `rounds` are over. Links are
-verified: weighted Jaccard similarity of the two bags (by 32-bit hashes of the counted shingles) at least `similar`.
-Classes are the connected components of links and exact copies. Exact copies are joined first, by the digest of the text.
-The draws are random, so in large groups of texts that are just similar enough a link may be missed; see the README.
+compared with a leader, for several hashed draws at once, until no draw finds a link or `rounds` are over. These rounds
+only join what is easily joined: bands that still hold several components are then finished exactly, every two members of
+different components being compared (see `rest`). Links are verified: weighted Jaccard similarity of the two bags (by
+32-bit hashes of the counted shingles) at least `similar`. Classes are the connected components of links and exact copies.
+Exact copies are joined first, by the digest of the text.
 
 Null and empty texts: no shingles; they are copies of each other. Repeated rows and ids are separate documents. class_id
 is the smallest doc_id of the class (null only if all are), `stays` marks one document of each class. An empty table
@@ -21,6 +22,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,6 +124,83 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(1, len(a) + len(b) - common)
 
 
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], similar: float, columns: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of bags that are similar, by matrix products over the elements that both sides have."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    both = np.intersect1d(*flat)
+    own = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    at = [np.searchsorted(both, x) for x in flat]
+    kept = [np.flatnonzero((p < len(both)) & (both[np.minimum(p, len(both) - 1)] == x)) if len(both) else np.empty(0, np.int64) for p, x in zip(at, flat, strict=True)]
+    own, at = [o[k] for o, k in zip(own, kept, strict=True)], [p[k] for p, k in zip(at, kept, strict=True)]
+    common = np.zeros((len(left), len(right)))
+    for low in range(0, len(both), columns):
+        width = min(columns, len(both) - low)
+        parts = []
+        for o, p, n in zip(own, at, sizes, strict=True):
+            some = (p >= low) & (p < low + width)
+            part = np.zeros((len(n), width), np.float32)
+            part[o[some], p[some] - low] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    return np.nonzero(common / np.maximum(1, sizes[0][:, None] + sizes[1][None, :] - common) >= similar)
+
+
+def rest(active: DataFrame, held: DataFrame, scratch: Scratch, similar: float, small: int = 16, per_block: int = 384) -> DataFrame:
+    """Links (a, b) between components, from all pairs of members of different components in each band (key, node, comp).
+
+    Bands with the same members are compared once. Members fall into classes of bag size, of which only neighbouring ones
+    can hold similar bags. Bands of at most `small` members give pairs. In larger ones members are dealt into blocks of
+    about `per_block` (fewer of large bags), and each two blocks are one group, compared by matrix products; members of a
+    band's largest component are compared with those of the others only.
+    """
+    step = max(-math.log(similar), 1e-3) * (1 + 1e-6)
+    measured = held.select("node", (F.length("bag") / 4).cast("long").alias("size")).withColumn("cls", F.floor(F.log("size") / step).cast("int"))
+    alike = active.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
+    once = alike.groupBy("members", "h1", "h2").agg(F.min("key").alias("key")).select("key", "members")
+    largest = active.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
+    members = active.join(once.join(largest, "key"), "key").join(measured, "node").withColumn("minor", F.col("comp") != F.col("largest")).drop("largest")
+    members = scratch.save(members, "members")
+
+    few = members.filter(F.col("members") <= small).select("key", "node", "comp", "size")
+    pairs = few.toDF("key", "a", "comp_a", "size_a").join(few.toDF("key", "b", "comp_b", "size_b"), "key")
+    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (similar - 1e-9)))
+    pairs = pairs.select("a", "b", "comp_a", "comp_b").distinct()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= similar for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    ends = pairs.join(held.toDF("a", "bag_a"), "a").join(held.toDF("b", "bag_b"), "b").select("comp_a", "comp_b", "bag_a", "bag_b").toDF("a", "b", "bag_a", "bag_b")
+    found = ends.mapInArrow(compare, "a long, b long").distinct()
+
+    many = members.filter(F.col("members") > small)
+    room = F.greatest(F.lit(16), F.least(F.lit(per_block), F.floor(F.lit(float(1 << 20)) / F.exp((F.col("cls") + 1) * step))))
+    groups = many.groupBy("key", "cls", "minor").agg(F.ceil(F.count("*") / room).cast("int").alias("blocks"))
+    many = many.join(groups, ["key", "cls", "minor"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    blocks = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.struct("cls", "minor", "block").alias("place"))
+    cells = blocks.withColumnRenamed("place", "one").join(blocks.withColumnRenamed("place", "two"), "key")
+    cells = cells.filter((F.col("one") <= F.col("two")) & (F.col("two.cls") - F.col("one.cls") <= 1) & (F.col("one.minor") | F.col("two.minor")))
+    cells = scratch.save(cells.withColumn("same", F.col("one") == F.col("two")), "cells")
+    sides = cells.select("key", F.col("one").alias("place"), "one", "two", "same", F.lit(0).alias("side")).union(cells.filter("not same").select("key", F.col("two").alias("place"), "one", "two", "same", F.lit(1).alias("side")))
+    placed = many.select("key", F.struct("cls", "minor", "block").alias("place"), "node", "comp").join(sides, ["key", "place"]).join(held, "node")
+
+    def one(rows: pa.Table) -> pa.Table:
+        second = rows.column("side").to_numpy() == 1
+        left = rows.filter(pa.array(~second))
+        right = left if rows.column("same")[0].as_py() else rows.filter(pa.array(second))
+        a = b = np.empty(0, np.int64)
+        if len(left) and len(right):
+            at = similar_pairs(*([np.frombuffer(x, np.uint32) for x in side.column("bag").to_pylist()] for side in (left, right)), similar)
+            a, b = left.column("comp").to_numpy()[at[0]], right.column("comp").to_numpy()[at[1]]
+            a, b = np.unique(np.stack([a, b])[:, a != b], axis=1)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = placed.select("key", F.struct("one", "two").alias("cell"), "same", "side", "comp", "bag").groupBy("key", "cell").applyInArrow(one, "a long, b long")
+    return scratch.save(found.union(dealt), "rest")
+
+
 def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """node and label (smallest node) of the components of links (a, b), by label passing and pointer jumping."""
     both = scratch.save(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{tag}-edges")
@@ -140,7 +219,7 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int = 4, rounds: int = 3, draws: int = 4) -> DataFrame:
+def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int = 4, rounds: int = 3, draws: int = 4, per_block: int = 384) -> DataFrame:
     """doc_id, digest, class_id and stays of every document."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -204,13 +283,16 @@ def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int =
             continue
         tested = judged if tested is None else tested.unionByName(judged)
         labels = components(tested, scratch, f"labels{step}")
-        if step + 1 < rounds:
-            named = banded.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-            several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-            active = scratch.save(named.join(several, "key", "left_semi"), f"active{step}")
+        named = banded.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+        several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+        active = scratch.save(named.join(several, "key", "left_semi"), f"active{step}")
+    last = rest(active, held, scratch, similar, per_block=per_block)
+    last = components(last, scratch, "last") if last.take(1) else None
     rows_ = signed.select("row", "doc_id", "digest").join(texts.select("digest", "node"), "digest")
     if labels is not None:
-        rows_ = rows_.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
+        rows_ = rows_.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
+    if last is not None:  # its nodes are the components of the rounds
+        rows_ = rows_.join(last, "node", "left").withColumn("node", F.coalesce("label", "node"))
     first = rows_.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first"))
     return rows_.join(first, "node").select("doc_id", "digest", F.col("first.doc_id").alias("class_id"), (F.col("row") == F.col("first.row")).alias("stays"))
 

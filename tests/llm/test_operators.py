@@ -81,6 +81,29 @@ def test_near_duplicates(spark, docs, none, rows):
     assert dart_minhash.classes(none).count() == 0
 
 
+@pytest.mark.parametrize("per_block", [16, 1024])
+def test_links_in_hot_bands_are_all_found(spark, per_block):
+    """Texts with six of 60 changes each; twins share three of them (0.816), others at most two (0.762), and all share bands."""
+    rng = np.random.default_rng(3)
+    base, chosen, texts = [f"word{k}" for k in range(300)], [], []
+    while len(chosen) < 160:
+        six = rng.permutation(60)
+        pair = [set(six[:6].tolist()), set(six[3:9].tolist())]
+        if all(len(x & y) < 3 for x in pair for y in chosen):
+            chosen += pair
+    for some in chosen:
+        texts.append(" ".join(f"changed{k}" if k % 5 == 0 and k // 5 in some else w for k, w in enumerate(base)))
+    bags, label = [dart_minhash.bag(t.encode()) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if dart_minhash.similarity(bags[i], bags[j]) >= 0.8 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert len(set(label)) == 80
+    got = dart_minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), per_block=per_block).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(label))
+
+
 def test_signature_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 400).astype(np.uint64)
