@@ -37,11 +37,11 @@ def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int) -> Da
     names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, row = encoder(path).encode, TaskContext.get().partitionId() << 33
+        encode, row = encoder(path).encode_all, TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
-                ids = encode(data) + end
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), encode(text_bytes(batch)), strict=True):
+                ids = encoded + end
                 for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((row, doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
                 row += 1

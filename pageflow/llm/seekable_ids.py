@@ -126,15 +126,15 @@ def write_parts(docs: DataFrame, to: str, *, tokenizer: str = "word_bpe_49k.json
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, uri, documents, tokens = None, "", 0, 0
-        encode = encoder(path).encode
+        encode = encoder(path).encode_all
         for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), encode(text_bytes(batch)), strict=True):
                 if writer is None:
                     system, base = _file_system(to)
                     system.create_dir(base)
                     name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids.zst"
                     uri, writer = f"{to}/{name}", FrameWriter(system.open_output_stream(f"{base}/{name}", compression=None), level=level)
-                ids = encode(data) + end
+                ids = encoded + end
                 writer.add(doc_id, ids)
                 documents, tokens = documents + 1, tokens + len(ids) // 4
         if writer is not None:
