@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, inside, iou
+from .grouped import by_group
 
 SIDES = ("x1", "y1", "x2", "y2")
 
@@ -29,13 +29,13 @@ def overlap_pairs(boxes: DataFrame, threshold: float = 0.2) -> DataFrame:
 def merge(boxes: DataFrame, threshold: float = 0.2) -> DataFrame:
     """page, cls, x1..y2, members: the bounding box of each connected group of overlapping boxes of one class and page.
 
-    A page's boxes are few (one detector run), so a page is a task's group; single boxes pass unchanged, and merged boxes
+    A page's boxes are few (one detector run), so they are one group; single boxes pass unchanged, and merged boxes
     aren't tested again.
     """
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("bid", ignore_index=True)
-        rows = list(frame[list(SIDES)].itertuples(index=False, name=None))
+    def one(rows: list[tuple]) -> list[tuple]:
+        if len(rows) == 1:
+            return [(*rows[0][:2], *rows[0][3:], 1)]
         parent = list(range(len(rows)))
 
         def find(k: int) -> int:
@@ -44,19 +44,22 @@ def merge(boxes: DataFrame, threshold: float = 0.2) -> DataFrame:
                 k = parent[k]
             return k
 
-        for i, (ax1, ay1, ax2, ay2) in enumerate(rows):
+        for i, (_, _, _, ax1, ay1, ax2, ay2) in enumerate(rows):
             for j in range(i):
-                bx1, by1, bx2, by2 = rows[j]
+                _, _, _, bx1, by1, bx2, by2 = rows[j]
                 w, h = min(ax2, bx2) - max(ax1, bx1), min(ay2, by2) - max(ay1, by1)
                 common = w * h if w > 0 and h > 0 else 0
                 union = (ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - common
                 if union > 0 and common / union > threshold:
                     parent[find(i)] = find(j)
-        frame["root"] = [find(k) for k in range(len(rows))]
-        out = frame.groupby("root", sort=True).agg(page=("page", "first"), cls=("cls", "first"), x1=("x1", "min"), y1=("y1", "min"), x2=("x2", "max"), y2=("y2", "max"), members=("bid", "size"))
-        return out.reset_index(drop=True)
-
-    return boxes.select("page", "cls", "bid", *SIDES).groupBy("page", "cls").applyInPandas(one, "page long, cls string, x1 long, y1 long, x2 long, y2 long, members long")
+        merged: dict[int, list] = {}
+        for k, (page, cls, _, x1, y1, x2, y2) in enumerate(rows):
+            m = merged.setdefault(find(k), [page, cls, x1, y1, x2, y2, 0])
+            m[2:] = min(m[2], x1), min(m[3], y1), max(m[4], x2), max(m[5], y2), m[6] + 1
+        return [tuple(m) for m in merged.values()]
+
+    schema = "page long, cls string, x1 long, y1 long, x2 long, y2 long, members long"
+    return by_group(boxes.select("page", "cls", "bid", *SIDES), ["page", "cls"], ["bid"], one, schema)
 
 
 def match_bubbles(boxes: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import by_group
+
 
 def free_width(width: Column, height: Column, size: Column, attached: Column, left_clear: Column, right_clear: Column, *, padding: float = 0.05, overflow: float = 0.2, margin: int = 6) -> dict[str, Column]:
     """target_width and attached of a text outside bubbles.
@@ -63,18 +64,18 @@ def nudge(rects: DataFrame, width: float, height: float) -> DataFrame:
     The order matters, so a page, which holds few texts, is one group.
     """
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["free", "ord"], kind="stable")
+    def one(rows: list[tuple]) -> list[tuple]:
         taken, out = [], []
-        for r in frame.itertuples(index=False):
-            rect = (r.x1, r.y1, r.x2, r.y2)
-            if r.free:
+        for page, free, place, *sides in rows:
+            rect = tuple(sides)
+            if free:
                 rect = moved_off(rect, taken, width, height)
-                out.append((r.page, r.ord, *map(float, rect)))
+                out.append((page, place, *map(float, rect)))
             taken.append(rect)
-        return pd.DataFrame(out, columns=["page", "ord", "x1", "y1", "x2", "y2"])
+        return out
 
-    return rects.select("page", "ord", "free", "x1", "y1", "x2", "y2").groupBy("page").applyInPandas(one, "page long, ord long, x1 double, y1 double, x2 double, y2 double")
+    schema = "page long, ord long, x1 double, y1 double, x2 double, y2 double"
+    return by_group(rects.select("page", "free", "ord", "x1", "y1", "x2", "y2"), ["page"], ["free", "ord"], one, schema)
 
 
 def font_chain(fonts: DataFrame) -> DataFrame:

@@ -217,7 +217,7 @@ def event_lines(spark, sf_dir):
     return progress.lines(e).select("event_id", "line")
 
 
-@query("""WITH f AS (SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 2)) f(font, k)), s AS (SELECT doc_id, unnest(list_distinct(string_split(left(source, 40), ''))) AS sign FROM (SELECT doc_id, text AS source FROM documents)),
+@query("""WITH f AS (SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 2)) f(font, k)), s AS (SELECT doc_id, unnest(list_distinct(string_split(source, ''))) AS sign FROM (SELECT doc_id, text AS source FROM documents)),
 w AS (SELECT doc_id, sign, ['a', 'b', 'c'][doc_id % 3 + 1] AS font FROM s),
 chain(font, place, fallback) AS (VALUES ('a', 0, 'a'), ('a', 1, 'b'), ('a', 2, 'c'), ('b', 0, 'b'), ('b', 1, 'a'), ('b', 2, 'c'), ('c', 0, 'c'), ('c', 1, 'b'), ('c', 2, 'a')),
 able AS (SELECT w.doc_id, w.sign, min_by(fallback, place) AS best FROM w JOIN chain USING (font) WHERE ascii(sign) % 3 <> CASE fallback WHEN 'a' THEN 0 WHEN 'b' THEN 1 ELSE 2 END AND ascii(sign) % 7 > 0 GROUP BY w.doc_id, w.sign)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import PAGE, STATE
+from .kept import kept
 
 
 def listing(spark: SparkSession, folder: str, batch: int = 50) -> DataFrame:
@@ -18,13 +19,18 @@ def listing(spark: SparkSession, folder: str, batch: int = 50) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with page_no, 1 for the first by `order`; the order has to be of distinct values for stable numbers."""
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    """rows with page_no, 1 for the first by `order`; the order has to be of distinct values for stable numbers.
+
+    One range exchange puts the rows in order, and what place each has in which partition is written once, so that
+    counting and numbering see the same partitions. The counts, one for each partition, are broadcast.
+    """
+    at = F.monotonically_increasing_id()  # partition, then place in it
+    placed = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at))
+    placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_own": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", before.alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_own", own).join(starts, "_part").withColumn("page_no", (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
+    return placed.join(F.broadcast(starts), "_part").withColumn("page_no", F.col("_own") + F.col("_before") + 1).drop("_at", "_part", "_own", "_before")
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,9 +39,14 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decode_report(decoded: DataFrame, *by: str) -> DataFrame:
-    """n, failed and the first three failed names (by, page, failed boolean)."""
-    failed = F.filter(F.array_sort(F.collect_set(F.when(F.col("failed"), F.col("page")))), lambda x: x.isNotNull())
-    return decoded.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("failed").alias("failed"), F.slice(failed, 1, 3).alias("names"))
+    """n, failed and the first three failed names (by, page, failed boolean); each task keeps three names a group at most."""
+    rows = decoded.select("*", F.struct(F.lit(0).alias("_"), *by).alias("_by"))
+    counts = rows.groupBy("_by").agg(F.count("*").alias("n"), F.count_if("failed").alias("failed"))
+    place = F.row_number().over(Window.partitionBy("_by").orderBy("page"))
+    first = rows.filter("failed and page is not null").select("_by", "page").distinct().withColumn("_place", place).filter("_place <= 3")
+    names = first.groupBy(F.col("_by").alias("_of")).agg(F.array_sort(F.collect_list("page")).alias("names"))
+    every = counts.join(names, F.col("_by").eqNullSafe(F.col("_of")), "left")
+    return every.select(*(f"_by.{c}" for c in by), "n", "failed", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
 
 
 def page_records(spark: SparkSession, path: str) -> DataFrame:

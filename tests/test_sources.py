@@ -6,6 +6,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pageflow import config
 from pageflow.operators import pixels, stages
@@ -115,3 +116,16 @@ def test_streams(spark, folder, tmp_path):
     seen = []
     progress.page_batches(spark, folder, lambda df, k: seen.append(df.count()), f"file://{tmp_path}/ck2", pages=4).awaitTermination(120)
     assert seen == [4, 2]
+
+
+def test_numbers_are_gapless_over_many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+    try:
+        rows = spark.range(400_000, numPartitions=16).select(((F.col("id") * 7919) % 400_000).alias("id"), F.repeat(F.md5(F.col("id").cast("string")), 4).alias("payload"))
+        got = pages.numbered(rows, "id").agg(F.count("*"), F.countDistinct("page_no"), F.count_if(F.col("page_no") == F.col("id") + 1)).first()
+        assert tuple(got) == (400_000, 400_000, 400_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
