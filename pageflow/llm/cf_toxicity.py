@@ -6,7 +6,9 @@ takes mini-batches of labelled texts. For sentences with identity terms it also
 for another one and adds a penalty on the squared change of the logit, so that naming a group doesn't move the score.
 Where few labelled sentences name a group, the same pair is made by putting two terms into the sentence in turn.
 
-Inputs are the texts alone. Null and empty texts get the score of the bias. Rows are scored one by one.
+Inputs are the texts alone, however long. Null and empty texts get the score of the bias. Rows are scored one by one, so
+repeated rows and ties have equal scores, an empty table has none, and other columns, whatever their names, are kept as
+they are. Without labelled rows all weights are 0.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ import zlib
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -57,42 +58,37 @@ def swapped(data: bytes, terms: dict[bytes, bytes]) -> bytes | None:
     return b" ".join(out) if found else None
 
 
-class Rows:
-    """Feature lists of texts, flat with offsets."""
+def text_features(data: bytes) -> np.ndarray:
+    return np.fromiter((f for w in sorted(words(data)) for f in features(w)), np.int32)
 
-    def __init__(self, texts: Iterable[bytes]):
-        lists = [np.fromiter((f for w in sorted(words(t)) for f in features(w)), np.int64) for t in texts]
-        self.of = lists
 
-    def logit(self, weights: np.ndarray, k: int) -> float:
-        return weights[self.of[k]].sum()
-
-
-def fit(texts: list[bytes], y: np.ndarray, *, terms: Iterable[str] = IDENTITY_TERMS, penalty: float = 1.0, l1: float = 0.01, epochs: int = 5, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(texts: Iterable[bytes], y: np.ndarray, *, terms: Iterable[str] = IDENTITY_TERMS, penalty: float = 1.0, l1: float = 0.01, epochs: int = 5, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
     """(weights, bias) by AdaGrad over single texts and counterfactual pairs, in a fixed order.
 
     Weights are evidence for toxicity: they stay at 0 or above, and `l1` takes those of neutral words back to 0, so the
-    many neutral words of a long text don't outweigh (or add up to) a toxic one.
+    many neutral words of a long text don't outweigh (or add up to) a toxic one. Texts are taken one at a time; what is
+    held of each are its features and those by which its counterfactual differs.
     """
     rng = np.random.default_rng(seed)
     ring = [t.lower().encode() for t in dict.fromkeys(terms)]
     partner = {a: ring[(k + 1) % len(ring)] for k, a in enumerate(ring)}
-    rows = Rows(texts)
-    pairs = []
+    rows: list[np.ndarray] = []
+    differs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for k, text in enumerate(texts):
+        own = text_features(text)
+        rows.append(own)
         other = swapped(text, partner) if ring else None
-        if other is None and len(ring) > 1 and k % 8 == 0:  # sentences that name no group: two terms put in, in turn
-            a, b = (ring[i] for i in rng.choice(len(ring), 2, replace=False))
-            pairs.append((k, text + b" " + a, text + b" " + b))
-        elif other is not None:
-            pairs.append((k, text, other))
-    left, right = Rows(p[1] for p in pairs), Rows(p[2] for p in pairs)
-    at_pair = {p[0]: i for i, p in enumerate(pairs)}
+        if other is not None:
+            other = text_features(other)
+        elif len(ring) > 1 and k % 8 == 0:  # sentences that name no group: two terms put in, in turn
+            own, other = (text_features(text + b" " + ring[i]) for i in rng.choice(len(ring), 2, replace=False))
+        if other is not None:
+            differs[k] = np.setdiff1d(own, other), np.setdiff1d(other, own)
     w, total = np.zeros(1 << BITS), np.ones(1 << BITS)
     bias, bias_total = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))) if len(y) else 0.0, 1.0
     for _ in range(epochs):
-        for k in rng.permutation(len(texts)):
-            f = rows.of[k]
+        for k in rng.permutation(len(rows)):
+            f = rows[k]
             g = 1 / (1 + np.exp(-np.clip(w[f].sum() + bias, -30, 30))) - y[k]
             if abs(g) > 1e-4 and len(f):
                 unique = np.unique(f)
@@ -100,10 +96,9 @@ def fit(texts: list[bytes], y: np.ndarray, *, terms: Iterable[str] = IDENTITY_TE
                 w[unique] = np.maximum(0, w[unique] - rate * (g + l1) / np.sqrt(total[unique]))
             bias_total += g * g
             bias -= 0.1 * g / np.sqrt(bias_total)
-            if (i := at_pair.get(int(k))) is not None:
-                a, b = np.setdiff1d(left.of[i], right.of[i]), np.setdiff1d(right.of[i], left.of[i])
-                change = penalty * (w[a].sum() - w[b].sum())
-                for part, sign in ((a, 1), (b, -1)):
+            if (pair := differs.get(int(k))) is not None:
+                change = penalty * (w[pair[0]].sum() - w[pair[1]].sum())
+                for part, sign in zip(pair, (1, -1), strict=True):
                     if len(part) and change:
                         step = sign * change
                         total[part] += step * step
@@ -140,5 +135,4 @@ def keep(docs: DataFrame, weights: np.ndarray, bias: float, *, threshold: float)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, most: int = 16384, parts: int = 4, held: int = 2, **options) -> tuple[np.ndarray, float]:
-    rows: pd.DataFrame = training_rows(docs, labels, "toxic", parts=parts, held=held, most=most)
-    return fit([t.encode() for t in rows["text"]], rows["y"].to_numpy(float), **options)
+    return fit(*training_rows(docs, labels, "toxic", parts=parts, held=held, most=most), **options)

@@ -21,17 +21,23 @@ SPACES = r"[\x20\x09-\x0D]+"
 class Scratch:
     """Written tables that cut lineage, below the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is made and removed at exit.
+    Only where that setting is missing, and only for a local master, a temporary folder is made and removed at exit.
     """
 
+    #: All that were made and not cleared yet.
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             own = tempfile.mkdtemp(prefix="pageflow-")
             atexit.register(shutil.rmtree, own, True)
             base = f"file://{own}"
         self.root = f"{base.rstrip('/')}/pageflow-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -42,10 +48,19 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no later read needs."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.path(name))
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    @classmethod
+    def clear_from(cls, first: int) -> None:
+        """Deletes all tables of those made from the `first` on; their results have to be written elsewhere by then."""
+        for scratch in cls.made[first:]:
+            scratch._delete(scratch.root)
+        del cls.made[first:]
 
 
 def store() -> dict:
@@ -67,6 +82,14 @@ class Memo(dict):
         return value
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of each text; null is the empty text."""
     column = batch.column(batch.schema.get_field_index(name)).cast(pa.binary())

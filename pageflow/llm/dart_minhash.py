@@ -17,7 +17,8 @@ Exact copies are joined first, by the digest of the text.
 
 Null and empty texts: no shingles; they are copies of each other. Repeated rows and ids are separate documents. class_id
 is the smallest doc_id of the class (null only if all are), `stays` marks one document of each class. An empty table
-gives an empty result.
+gives an empty result. Long texts are taken whole. Only doc_id and text are read; `keep_one` keeps all columns, whatever
+their names, and of rows that repeat an id and a text it keeps one.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, store, text_bytes
+from .common import Memo, Scratch, free_name, store, text_bytes
 
 WORDS = 5
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -244,7 +245,9 @@ def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int =
     shared = texts.select("node", F.explode("bands").alias("key"))
     many = shared.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     banded = scratch.save(shared.join(many, "key"), "banded")
-    popular = banded.groupBy("node").agg(F.sum("size").alias("pop"))
+    # A row for each text, with its shared bands: components are joined to these, and bands unfolded after that.
+    by_node = scratch.save(banded.groupBy("node").agg(F.sum("size").alias("pop"), F.collect_list("key").alias("keys")), "by_node")
+    popular = by_node.select("node", "pop")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +263,7 @@ def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
     tested = labels = None
-    active = banded.select("key", "node", F.col("node").alias("comp"))
+    active, left = banded.select("key", "node", F.col("node").alias("comp")), by_node.select("node", "keys")
     for step in range(rounds):
         if step == 0:
             leaders = banded.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("pop", "node")).alias("leader"))
@@ -283,9 +286,10 @@ def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int =
             continue
         tested = judged if tested is None else tested.unionByName(judged)
         labels = components(tested, scratch, f"labels{step}")
-        named = banded.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+        named = left.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("comp"), F.explode("keys").alias("key"))
         several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-        active = scratch.save(named.join(several, "key", "left_semi"), f"active{step}")
+        active = scratch.save(named.join(several, "key", "left_semi").select("key", "node", "comp"), f"active{step}")
+        left = scratch.save(active.groupBy("node").agg(F.collect_list("key").alias("keys")), f"left{step}")  # bands that are done stay done
     last = rest(active, held, scratch, similar, per_block=per_block)
     last = components(last, scratch, "last") if last.take(1) else None
     rows_ = signed.select("row", "doc_id", "digest").join(texts.select("digest", "node"), "digest")
@@ -299,7 +303,8 @@ def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int =
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` without the other members of each class; all columns as they are."""
-    stays = classes(docs, **options).filter("stays").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    kept = docs.withColumn("_own", digest).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    own, of, digest = (free_name(docs, n) for n in ("_own", "_of", "_digest"))
+    stays = classes(docs, **options).filter("stays").select(F.col("doc_id").alias(of), F.col("digest").alias(digest))
+    signed = docs.withColumn(own, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    kept = signed.join(stays, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(own) == F.col(digest)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).drop(own)

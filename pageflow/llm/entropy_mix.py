@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_count
+from .common import Scratch, free_name, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -115,7 +115,8 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: int = 3,
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """Each row `copies` times."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("_copy")
+    copy = free_name(mixed, "_copy")
+    return mixed.filter("copies > 0").withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop(copy)
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

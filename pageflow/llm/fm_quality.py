@@ -5,16 +5,18 @@ band) and metadata that the text itself gives (length bands, whether it holds li
 bias + <w, x> + 1/2 * sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2], so pairs cost linear time. Trained by AdaGrad
 on a bounded sample of labelled rows; the model has a fixed size and is broadcast.
 
-Null and empty texts are scored from their statistics (all zero). Rows are scored one by one.
+Null and empty texts are scored from their statistics (all zero). Rows are scored one by one, whole however long, so
+repeated rows and ties have equal scores, an empty table has none, and other columns, whatever their names, are kept as
+they are. Without labelled rows the machine keeps its first, random factors and no weights.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -85,8 +87,8 @@ class Machine:
     def score(self, data: bytes) -> float:
         return 1 / (1 + np.exp(-np.clip(self.logit(*inputs(data))[0], -30, 30)))
 
-    def fit(self, texts: list[bytes], y: np.ndarray, *, epochs: int = 6, rate: float = 0.15, l2: float = 1e-5, seed: int = 3) -> Machine:
-        rows = [inputs(t) for t in texts]
+    def fit(self, texts: Iterable[bytes], y: np.ndarray, *, epochs: int = 6, rate: float = 0.15, l2: float = 1e-5, seed: int = 3) -> Machine:
+        rows = [(at.astype(np.int32), x.astype(np.float32)) for at, x in map(inputs, texts)]
         rng = np.random.default_rng(seed)
         gw, gv, gb = np.full(WIDTH, 0.1, np.float32), np.full((WIDTH, FACTORS), 0.1, np.float32), 0.1
         for _ in range(epochs):
@@ -109,8 +111,7 @@ class Machine:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, most: int = 12288, parts: int = 5, held: int = 0, **options) -> Machine:
-    rows: pd.DataFrame = training_rows(docs, labels, "quality", parts=parts, held=held, most=most)
-    return Machine().fit([t.encode() for t in rows["text"]], rows["y"].to_numpy(float), **options)
+    return Machine().fit(*training_rows(docs, labels, "quality", parts=parts, held=held, most=most), **options)
 
 
 def scorer(docs: DataFrame, machine: Machine):
