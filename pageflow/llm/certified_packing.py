@@ -7,7 +7,9 @@ meets its bound is final. Those with gaps keep their full bins and put the docum
 dealt anew and packed again; a round's result counts only if it needs fewer bins.
 
 Null text: empty, one piece with the end id alone. Repeated rows are separate documents (`row` tells their pieces
-apart); ties are broken by hash and doc_id, so reruns give equal bin counts. An empty table gives no rows.
+apart); ties are broken by hash and doc_id, so reruns give equal bin counts. An empty table gives no rows. Only doc_id and
+text are read, so other columns may have any names; `pack` keeps all columns of its items but sequence_id, offset, bins
+and bound, which it makes.
 """
 
 from __future__ import annotations
@@ -93,14 +95,17 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(items: DataFrame, *, capacity: int = 1024, per_part: int = 65536, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(items with sequence_id and offset, certificates per partition and round).
+    """(items with sequence_id, offset, bins and bound, certificates per partition and round).
+
+    bins and bound are those of the partition that an item was last packed in: the bins it took, and the bins that any
+    packing of its items takes at least.
 
     `items` has row, piece, length and any other columns. At most `rounds` (up to 6) repackings; `per_part` bounds what one task holds.
     """
     scratch = Scratch(items.sparkSession)
     items = scratch.save(items, "items")
     rest = items.filter(F.col("length") < capacity)
-    whole = items.filter(F.col("length") >= capacity).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    whole = items.filter(F.col("length") >= capacity).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bins": F.lit(1).cast("long"), "bound": F.lit(1).cast("long")})
     schema = "row long, piece int, length long, part long, bin long, offset long, bins long, bound long, final boolean"
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -133,7 +138,7 @@ def pack(items: DataFrame, *, capacity: int = 1024, per_part: int = 65536, round
         before = packed.filter("not final and offset = 0").count()
     placed = None
     for part in done:
-        part = part.select("row", "piece", "sequence_id", "offset")
+        part = part.select("row", "piece", "sequence_id", "offset", "bins", "bound")
         placed = part if placed is None else placed.unionByName(part)
     if placed is None:
         return whole.limit(0) if not items.take(1) else whole, items.sparkSession.createDataFrame([], "part long, bins long, bound long, round int")
@@ -144,5 +149,5 @@ def pack(items: DataFrame, *, capacity: int = 1024, per_part: int = 65536, round
 
 
 def pack_documents(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = 1024, per_part: int = 65536, rounds: int = 3) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and row of every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, bins, bound and row of every piece of every document."""
     return pack(pieces(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity), capacity=capacity, per_part=per_part, rounds=rounds)[0]
