@@ -1,8 +1,15 @@
-"""The corpus pipeline: toxicity, quality, near-duplicates, mixing and packing, each over all that the stage before kept."""
+"""The corpus pipeline: toxicity, quality, near-duplicates, mixing and packing, each over all that the stage before kept.
+
+Stages keep the columns of documents, whatever other columns there are and however they are named; only the last returns
+pieces. Null and empty texts score as such, are copies of each other and have size 0; null ids, languages and sources are
+values of their own. Of rows that repeat an id and a text one stays; other ties are settled as the operators say. Texts are
+taken whole. An empty table passes through all stages as an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pageflow.llm import cf_toxicity, certified_packing, dart_minhash, entropy_mix, fm_quality
 from pageflow.llm.common import Scratch, word_count
@@ -30,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = entropy_mix.mix(docs.withColumn("size", word_count("text")))
-    return entropy_mix.repeated(mixed).select(docs.columns)
+    sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.struct("*").alias("row"))
+    return entropy_mix.repeated(entropy_mix.mix(sized)).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
+        before = len(Scratch.made)
         done = scratch.save(stage(spark, docs, sf_dir), f"stage{k}-{name}")
+        Scratch.clear_from(before)  # what the stage wrote for itself
         if k:
             scratch.drop(f"stage{k - 1}-{STAGES[k - 1][0]}")
         docs = done
