@@ -12,9 +12,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pageflow.llm import adaptive_scan, bpe_count, brown_lm, certified_packing, cf_toxicity, dart_minhash, entropy_mix, fm_quality, mcd_rules, seekable_ids
+from pageflow.llm import adaptive_scan, bpe_count, brown_lm, certified_packing, cf_toxicity, dart_minhash, encoding, entropy_mix, fm_quality, mcd_rules, queries, seekable_ids
 
 DATA = "/root/testdata/sf0.01"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row long"
 
 
 def ids(name, text, end=2):
@@ -53,7 +54,9 @@ def test_classifiers_on_held_out_labels(spark, docs, none, module, label, parts,
     got = module.score_texts(docs, *model).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert module.keep(docs, *model, threshold=0.3).columns == docs.columns
-    assert module.score_texts(none, *model).count() == 0 == module.train(none.select("doc_id", "text"), labels.limit(0))[0].sum() if module is cf_toxicity else True
+    assert module.score_texts(none, *model).count() == 0
+    if module is cf_toxicity:
+        assert module.train(none.select("doc_id", "text"), labels.limit(0))[0].sum() == 0
 
 
 def test_machine_equals_all_pairs():
@@ -266,3 +269,109 @@ def test_mixing(spark, docs, none, rows):
         assert abs(taken[round(t, 3)] - t) <= 0.02 * t + 100
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, entropy_mix.mix_documents(docs).collect()), key=str)
     assert entropy_mix.mix_documents(none).count() == 0
+
+
+def test_outlier_distances_equal_a_plain_estimate(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = mcd_rules.judge(docs, least=20).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
+    floors = np.array(list(mcd_rules.FLOORS.values()))
+    x = np.array([[np.log1p(r.n_words), np.log1p(r.word_chars / max(1, r.n_words)), np.log1p(100 * r.n_symbols / max(1, r.word_chars)), np.log1p(r.n_dup_lines), r.n_repeat_words / max(1, r.n_words)] for r in got])
+    fine = np.array([not r.base_failed for r in got])
+    own = np.array([f"{r.lang}|{r.source}" for r in got])
+    size = collections.Counter(own[fine])
+    group = np.array([g if size[g] >= 20 else "" for g in own])
+    rank = lambda v, p: np.sort(v, axis=0)[max(0, math.ceil(p * len(v)) - 1)]
+
+    def estimate(rows):
+        m = rows.mean(0)
+        c = (rows - m).T @ (rows - m) / len(rows) + np.diag(floors**2)
+        return m, np.linalg.inv(c), np.linalg.slogdet(c)[1] / 2
+
+    worst = 0.0
+    for g in set(group):
+        rows = x[(group == g) & fine]
+        if not len(rows):
+            continue
+        spread = np.maximum((rank(rows, 0.75) - rank(rows, 0.25)) / 1.349, floors)
+        found = []
+        for m, inverse in ((rank(rows, 0.5), np.diag(spread**-2)), estimate(rows)[:2]):
+            volume = np.inf
+            for _ in range(40):
+                d2 = np.einsum("ij,jk,ik->i", rows - m, inverse, rows - m)
+                m, inverse, now = estimate(rows[d2 <= rank(d2, 0.75) * (1 + 1e-12)])
+                if now >= volume - 1e-6:
+                    break
+                volume = now
+            found.append((now, m, inverse))
+        _, m, inverse = min(found, key=lambda f: f[0])
+        for k in np.flatnonzero(group == g):
+            d2 = (x[k] - m) @ inverse @ (x[k] - m) / 1.413
+            if got[k].distance is not None and got[k].kept != (fine[k] and d2 <= mcd_rules.quantile(1e-11)):
+                assert abs(d2 / mcd_rules.quantile(1e-11) - 1) < 0.05
+            if got[k].distance is not None and d2 < 1e3:
+                worst = max(worst, abs(d2 - got[k].distance) / (1 + d2))
+    assert worst < 0.05
+
+
+def test_outliers_without_broadcast_are_the_same(spark, docs):
+    a = sorted(map(str, mcd_rules.judge(docs, least=5).select("doc_id", "n_words", "kept").collect()))
+    assert a == sorted(map(str, mcd_rules.judge(docs, least=5, most_models=0, salts=4).select("doc_id", "n_words", "kept").collect()))
+
+
+def test_swapped_terms_score_alike_only_with_the_penalty():
+    terms = ["deaf", "jewish", "muslim", "gay"]
+    toxic = [f"those {t} people are {w}".encode() for t in ("deaf", "gay") for w in ("scum", "vermin", "filth") for _ in range(8)]
+    clean = [f"the {t} people sing {w}".encode() for t in ("jewish", "muslim") for w in ("well", "songs", "loudly") for _ in range(8)]
+    texts, y = toxic + clean, np.array([1.0] * len(toxic) + [0.0] * len(clean))
+    change, neutral = {}, {}
+    for penalty in (0.0, 5.0):
+        w, bias = cf_toxicity.fit(texts, y, terms=terms, penalty=penalty)
+        logit = lambda t: w[cf_toxicity.text_features(t)].sum() + bias  # noqa: E731, B023
+        partner = {a.encode(): b.encode() for a, b in zip(terms, terms[1:] + terms[:1])}
+        change[penalty] = np.mean([abs(logit(t) - logit(cf_toxicity.swapped(t, partner))) for t in texts])
+        neutral[penalty] = max(logit(f"the {t} people sing songs".encode()) for t in ("deaf", "gay"))
+        assert min(map(logit, toxic)) > max(map(logit, clean))
+    assert change[5.0] < 0.5 * change[0.0] and neutral[5.0] < neutral[0.0]
+
+
+def test_quality_without_labels(spark, docs, none):
+    model = fm_quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert not model.w.any() and fm_quality.score_texts(none, model).count() == 0
+    assert all(0 <= r.score <= 1 for r in fm_quality.score_texts(docs, model).collect())
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_library(name):
+    import random
+
+    rng = random.Random(5)
+    parts = [" ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x85", "\xa0", "　", "\x1f", "a", "the", "It's", "'LL", "é", "É", "ß", "İ", "Σ", "á", "²", "½", "42", ".", "!!", "$$$", "'", "漢字", "가", "😀", "‍", "\xad", "<|endoftext|>", "<|ENDOFTEXT|>", "_", "ŉ", "\x00", "\x7f", "١", "ﬁ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    want = [array("I", e.ids).tobytes() for e in Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(texts, add_special_tokens=False)]
+    encoder = encoding.Encoder(public_tokenizers.path(name), limit=500)
+    assert list(encoder.encode_all([t.encode() for t in texts], group=4096)) == want
+    assert list(encoder.encode_all([])) == []
+
+
+def test_packing_certificates(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, 0, int(n)) for k, n in enumerate(rng.integers(1, 100, 600))]
+    placed, report = certified_packing.pack(spark.createDataFrame(rows, "row long, piece int, length long"), capacity=100, per_part=150)
+    got = placed.collect()
+    assert len(got) == 600 and all(r.bound <= r.bins for r in got) and all(r.bound <= r.bins for r in report.collect())
+    used, least = len({r.sequence_id for r in got}), certified_packing.lower_bound(np.array([n for *_, n in rows]), 100)
+    assert least <= used <= 1.02 * least + 1
+
+
+def test_queries_give_their_contracts_columns(spark, rows, tmp_path):
+    """The opN_ queries on awkward rows: folds, predictions and columns."""
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    labels = [(k, int(k % 2), int(k % 5 == 0)) for k in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for query, parts, held in ((queries.op2_factorisation_machine, 5, 0), (queries.op5_counterfactual_toxicity, 4, 2)):
+        got = query(spark, folder).collect()
+        assert len(got) == len(rows)
+        assert all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % parts == held) and r.predicted == int(r.score >= 0.3) for r in got)
+    assert {"doc_id", "class_id", "stays"} <= set(queries.op3_dart_minhash(spark, folder).columns)
+    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(queries.op7_certified_packing(spark, folder).columns)
