@@ -21,6 +21,16 @@ def valid_text(text: Column) -> Column:
     return (F.length(t) > 0) & ((F.length(t) > 1) | t.rlike(CJK)) & (t.rlike(r"\p{L}") | t.rlike(CJK))
 
 
+def valid_element(text: Column, width: Column, height: Column, least: int = 10) -> Column:
+    """A valid text whose box is at least `least` pixels on both sides; white space of any script is trimmed."""
+    return valid_text(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) & (width >= least) & (height >= least)
+
+
+def without_spaces(text: Column) -> Column:
+    """A recognised text without the plain spaces between its signs."""
+    return F.replace(text, F.lit(" "), F.lit(""))
+
+
 def response_key(line: Column) -> Column:
     key = F.rtrim(F.regexp_extract(line, r"^([0-9.]+)\.\s*", 1), F.lit("."))
     return F.when(key != "", key)

@@ -104,3 +104,27 @@ def match_free(boxes: DataFrame, matched: DataFrame) -> DataFrame:
         lambda done, q: F.concat(done, F.transform(F.slice(F.array_except(q["texts"], F.transform(done, lambda d: d["txt"])), 1, 1), lambda x: F.struct(q["bubble"].cast("long").alias("bubble"), x.cast("long").alias("txt")))),
     )
     return queue.select("page", F.inline(fold))
+
+
+def detected(boxes: DataFrame, confidence: float = 0.35, classes: tuple[str, ...] = ("bubble", "text", "free_text")) -> DataFrame:
+    """The boxes of known classes that the detector is sure enough of (column `conf`)."""
+    return boxes.filter((F.col("conf") >= confidence) & F.col("cls").isin(*classes))
+
+
+def structure(boxes: DataFrame) -> DataFrame:
+    """page, kind, bubble, txt: the bubbles with their texts, and the free texts that no bubble took (bubble null).
+
+    Bubbles take texts first; those left without one take free texts. Bubbles and texts that find no partner drop out.
+    The two folds run over different texts, so one after the other gives what one pass in bubble order gives.
+    """
+    matched = match_bubbles(boxes)
+    more = match_free(boxes, matched)
+    left = boxes.filter("cls = 'free_text'").select("page", F.col("bid").alias("txt")).join(more, ["page", "txt"], "left_anti")
+    pairs = matched.unionByName(more).select("page", F.lit("bubble").alias("kind"), "bubble", "txt")
+    return pairs.unionByName(left.select("page", F.lit("free").alias("kind"), F.lit(None).cast("long").alias("bubble"), "txt"))
+
+
+def debug_boxes(boxes: DataFrame, colours: dict[str, tuple[int, int, int]]) -> DataFrame:
+    """page, bid, x1..y2 and the colour (r, g, b) in which each known class is outlined."""
+    colour = F.create_map(*(x for cls, rgb in colours.items() for x in (F.lit(cls), F.array(*map(F.lit, rgb)))))
+    return boxes.withColumn("rgb", colour[F.col("cls")]).filter("rgb is not null").select("page", "bid", *SIDES, *(F.col("rgb")[k].alias(c) for k, c in enumerate("rgb")))

@@ -58,3 +58,26 @@ def history(conversations: DataFrame, exchanges: int = 6) -> DataFrame:
 def count_audit(applied: DataFrame) -> DataFrame:
     """page_num, asked, answered and short: how many texts of a page have no line in the response."""
     return applied.groupBy("page_num").agg(F.count("*").alias("asked"), F.count("answer").alias("answered"), (F.count("*") - F.count("answer")).alias("short"))
+
+
+def number_elements(elements: DataFrame) -> DataFrame:
+    """page, kind, ord, text and key `page.number` of the texts that aren't empty: bubbles (kind 0) first, then free ones (1)."""
+    some = elements.filter(F.coalesce(F.col("text") != "", F.lit(False)))
+    number = F.row_number().over(Window.partitionBy("page").orderBy("kind", "ord"))
+    return some.select("page", "kind", "ord", "text", F.concat_ws(".", "page", number).alias("key"))
+
+
+def pages_translated(pages: DataFrame, applied: DataFrame) -> DataFrame:
+    """page_num and whether all its texts have an answer that isn't blank; a page without texts counts as translated."""
+    return pages.select("page_num").distinct().join(translated_pages(applied), "page_num", "left").select("page_num", F.coalesce("translated", F.lit(True)).alias("translated"))
+
+
+def second_request(dialogue: DataFrame, response: DataFrame) -> DataFrame:
+    """The request for the texts that a response left out, for the one retry; empty where nothing is missing."""
+    return requests(missing(dialogue, response))
+
+
+def with_retry(dialogue: DataFrame, response: DataFrame, retried: DataFrame) -> DataFrame:
+    """Each text with its answer: the response's, else the retry's, else empty."""
+    second = answers(retried).select("key", F.col("answer").alias("_second"))
+    return apply_response(dialogue, response).join(second, "key", "left").withColumn("answer", F.coalesce("answer", "_second", F.lit(""))).drop("_second")
