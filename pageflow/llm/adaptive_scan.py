@@ -11,7 +11,9 @@ and candidates too, whether their lists are scanned or not, so a query finds k r
 
 Lists and the queries that scan them are dealt in blocks of at most `per_group` rows, so a common vector is no single
 task. Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part.
-Equal scores go to the smaller vec_id. Null vec_ids take no part.
+Equal scores go to the smaller vec_id. Null vec_ids take no part. Rows are told by their vec_id: rows that repeat one are
+candidates each, but none of them for a query of that id, and as queries they share one list of results. An empty table, or
+one without valid vectors, gives no rows. Only vec_id and embedding are read, so other columns may have any names.
 """
 
 from __future__ import annotations

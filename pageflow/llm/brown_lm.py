@@ -9,7 +9,8 @@ are smoothed by one, with one unseen word per class; transitions back off to cla
 Counts cover the whole training part. What reaches the driver is bounded by parameters: the `direct` commonest words and
 (frequent + affixes)^2 pair counts. Rarer words are scored by a join of (word, row) with the counts, so no vocabulary is
 broadcast that grows with the data. Null and empty texts are the end token alone. Repeated rows, null ids and ties are
-separate rows with equal scores. Without training rows N and V are 0 and all classes are even.
+separate rows with equal scores. Without training rows N and V are 0 and all classes are even; an empty table gives no
+rows. Long texts are taken whole. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

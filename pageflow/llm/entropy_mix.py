@@ -8,7 +8,8 @@ documents first, each cell taking up the rounding error of those before it; insi
 gets the odd copies. Cells are dealt in buckets of a bounded number of rows, so a hot source or size is no single task.
 
 Null text: size 0. Null source: a source of its own, last. Sources of size 0 have target 0. Repeated rows count as
-separate documents. Reruns agree. An empty table gives an empty result.
+separate documents. Reruns agree. An empty table gives an empty result. All columns of the input are kept, whatever their
+names, but source_size, target, copies and taken, which are those of the mix.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ index and only the frames of the documents that it is asked for, and checks each
 
 Parts are written once under names of their own attempt; the manifest, which Spark commits, says which of them count.
 So a lost executor or a second attempt leaves at most an unused file. Null text: empty, the end id alone. Repeated
-doc_ids stay separate documents; an empty table gives an empty manifest.
+doc_ids stay separate documents, in the order of their texts; an empty table gives an empty manifest. Long texts are taken
+whole, over several frames. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
