@@ -35,6 +35,66 @@ def test_brown_base_scores_and_distribution(spark, docs, none, rows):
     assert brown_lm.score(none).count() == 0
 
 
+@pytest.mark.parametrize("direct", [5, 10_000])
+def test_brown_scores_equal_those_of_a_plain_model(spark, docs, rows, direct):
+    options = {"classes": 6, "frequent": 8, "affixes": 16, "evidence": 5}
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    words = lambda t: (t or "").encode().lower().split() + [b""]
+    model = brown_lm.learn(docs.filter(brown_lm.fold("doc_id", 7) != 2), brown_lm.Scratch(spark), **options)
+    table = {bytes(r.word): (r.c, r.k) for r in model.words.collect()}
+    c = collections.Counter(w for r in rows if not held(r[0]) for w in words(r[1]))
+    assert {w: n for w, (n, _) in table.items()} == c
+    # Of the words beyond the core some were moved by themselves.
+    assert any(k != model.class_of([w])[0] for w, (n, k) in table.items() if n >= 5)
+    assert all(k == model.class_of([w])[0] for w, (n, k) in table.items() if n < 5)
+    kind = lambda w: table[w][1] if w in table else int(model.class_of([w])[0])
+    pairs, size = np.zeros((6, 6)), np.ones(6)
+    for r in rows:
+        if not held(r[0]):
+            k = [kind(b""), *map(kind, words(r[1]))]
+            np.add.at(pairs, (k[:-1], k[1:]), 1)
+    for n, k in table.values():
+        size[k] += n + 1
+    prior = (pairs.sum(0) + 1) / (pairs.sum() + 6)
+    transition = (pairs + 20 * prior) / (pairs.sum(1, keepdims=True) + 20)
+    assert transition.sum(1) == pytest.approx(np.ones(6))
+
+    def total(text):
+        k = [kind(b""), *map(kind, words(text))]
+        return sum(math.log10(transition[a, b] * (table.get(w, (0,))[0] + 1) / size[b]) for a, b, w in zip(k, k[1:], words(text)))
+
+    want = collections.Counter((r[0], round(total(r[1]), 6)) for r in rows)
+    assert collections.Counter((r.doc_id, round(r.score, 6)) for r in brown_lm.score(docs, direct=direct, **options).collect()) == want
+
+
+def test_inserted_words_take_the_class_of_most_gain():
+    rng = np.random.default_rng(3)
+    table = rng.integers(0, 400, (5, 5)).astype(float) + 50
+    near, at = rng.integers(0, 4, (40, 10)).astype(float), rng.integers(0, 5, 40)
+    near[:, 5:] = rng.permuted(near[:, :5], axis=1)  # as many left neighbours as right ones
+    f = lambda x: x * math.log(x) if x > 1 else 0.0
+
+    def gain(w, b):
+        own, total = at[w], 0.0
+        for side, t in ((near[w, :5], table), (near[w, 5:], table.T)):
+            without = t - (np.arange(5) == own)[:, None] * side
+            total += sum(f(without[b, j] + side[j]) - f(without[b, j]) for j in range(5))
+            row = t[b].sum() - (b == own) * side.sum()
+            total -= f(row + side.sum()) - f(row)
+        return total
+
+    assert brown_lm.best_classes(near, at, table, block=7).tolist() == [max(range(5), key=lambda b: gain(w, b)) for w in range(40)]
+
+
+def test_packed_neighbours_sum_to_the_counts(spark):
+    near = brown_lm.packed(np.array([0, 0, 1]), np.array([3, 4, 0]), np.array([700, 255, 1]), 2)
+    sums = [collections.Counter() for _ in range(2)]
+    for total, x in zip(sums, near.to_pylist()):
+        for k, n in zip(x[::2], x[1::2]):
+            total[k] += n
+    assert sums == [{3: 700, 4: 255}, {0: 1}]
+
+
 def test_exchange_separates_alternating_words():
     pairs = np.zeros((6, 6))
     pairs[:3, 3:] = pairs[3:, :3] = 10
