@@ -7,11 +7,10 @@ those with one coordinate the earliest makes the signature, so the cost is that
 shingles times coordinates. If a coordinate stays empty the rank limit is doubled.
 
 Signatures are cut into bands; texts that share a band are candidates. A band shared by many is not expanded into pairs:
-first every text is compared with the leader it meets in most bands (the leader of a band is its text that shares most
-bands with others). Then, in bands that still hold several components, members that stand for their components are
-compared with a leader, for several hashed draws at once, until no draw finds a link or `rounds` are over. These rounds
-only join what is easily joined: bands that still hold several components are then finished exactly, every two members of
-different components being compared (see `rest`). Links are verified: weighted Jaccard similarity of the two bags (by
+first every text is compared with the up to `leaders` leaders it meets in most bands (the leader of a band is its text that
+shares most bands with others). This only joins what is easily joined: bands that then hold several components are
+finished exactly, every two members of different components being compared (see `rest`), so that the number of leaders
+changes the work and never the classes. Links are verified: weighted Jaccard similarity of the two bags (by
 32-bit hashes of the counted shingles) at least `similar`. Classes are the connected components of links and exact copies.
 Exact copies are joined first, by the digest of the text.
 
@@ -29,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, Scratch, free_name, store, text_bytes
@@ -157,6 +156,7 @@ def rest(active: DataFrame, held: DataFrame, scratch: Scratch, similar: float, s
     """
     step = max(-math.log(similar), 1e-3) * (1 + 1e-6)
     measured = held.select("node", (F.length("bag") / 4).cast("long").alias("size")).withColumn("cls", F.floor(F.log("size") / step).cast("int"))
+    active = scratch.save(active, "active")
     alike = active.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
     once = alike.groupBy("members", "h1", "h2").agg(F.min("key").alias("key")).select("key", "members")
     largest = active.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
@@ -220,7 +220,7 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int = 4, rounds: int = 3, draws: int = 4, per_block: int = 384) -> DataFrame:
+def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int = 4, leaders: int = 4, per_block: int = 384) -> DataFrame:
     """doc_id, digest, class_id and stays of every document."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -244,16 +244,14 @@ def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int =
     texts = scratch.save(signed.groupBy("digest").agg(F.min("row").alias("node"), F.min_by("bands", "row").alias("bands")), "texts")
     shared = texts.select("node", F.explode("bands").alias("key"))
     many = shared.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    banded = scratch.save(shared.join(many, "key"), "banded")
-    # A row for each text, with its shared bands: components are joined to these, and bands unfolded after that.
-    by_node = scratch.save(banded.groupBy("node").agg(F.sum("size").alias("pop"), F.collect_list("key").alias("keys")), "by_node")
-    popular = by_node.select("node", "pop")
+    # A row for each text, with its shared bands and the number of texts in them.
+    by_node = scratch.save(shared.join(many, "key").groupBy("node").agg(F.sum("size").alias("pop"), F.collect_list("key").alias("keys")), "by_node")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bag(t).tobytes() for t in text_bytes(batch)], pa.binary())], ["node", "bag"])
 
-    wanted = texts.join(popular, "node", "left_semi").select("digest", "node")
+    wanted = texts.join(by_node, "node", "left_semi").select("digest", "node")
     first = digested.join(wanted, "digest").select("node", "text").dropDuplicates(["node"])
     held = scratch.save(first.mapInArrow(bags, "node long, bag binary"), "bags")
 
@@ -262,40 +260,22 @@ def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int =
             near = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= similar for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
-    tested = labels = None
-    active, left = banded.select("key", "node", F.col("node").alias("comp")), by_node.select("node", "keys")
-    for step in range(rounds):
-        if step == 0:
-            leaders = banded.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("pop", "node")).alias("leader"))
-            met = banded.join(leaders, "key").filter("node <> leader")
-        else:
-            # One member of each component stands for it in a band, by a hash that changes with the seed.
-            seeds = F.explode(F.array(*(F.lit(step * draws + k) for k in range(draws)))).alias("seed")
-            by = F.struct(F.xxhash64("node", "key", "seed").alias("h"), "node")
-            stand = active.select("*", seeds).groupBy("key", "comp", "seed").agg(F.max(by).alias("by"))
-            leaders = stand.groupBy("key", "seed").agg(F.max(F.struct("by", "comp")).alias("lead"))
-            met = stand.join(leaders, ["key", "seed"]).filter(F.col("comp") != F.col("lead.comp")).select(F.col("by.node").alias("node"), F.col("lead.by.node").alias("leader"))
-        met = met.groupBy("node", "leader").agg(F.count("*").alias("met"))
-        nearest = Window.partitionBy("node").orderBy(F.desc("met"), F.xxhash64("leader"), "leader")  # bands x draws leaders at most
-        best = met.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= (1 if step == 0 else draws)).select("node", "leader")
-        ends = best.join(held.toDF("leader", "other"), "leader").join(held, "node").select("node", "leader", "bag", "other")
-        judged = scratch.save(ends.mapInArrow(compare, "a long, b long, near boolean"), f"judged{step}").filter("near").select("a", "b")
-        if not judged.take(1):
-            if step:
-                break
-            continue
-        tested = judged if tested is None else tested.unionByName(judged)
-        labels = components(tested, scratch, f"labels{step}")
-        named = left.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("comp"), F.explode("keys").alias("key"))
-        several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-        active = scratch.save(named.join(several, "key", "left_semi").select("key", "node", "comp"), f"active{step}")
-        left = scratch.save(active.groupBy("node").agg(F.collect_list("key").alias("keys")), f"left{step}")  # bands that are done stay done
+    banded = by_node.select("node", "pop", F.explode("keys").alias("key"))
+    heads = banded.groupBy("key").agg(F.max_by("node", F.struct("pop", "node")).alias("leader"))
+    met = banded.join(heads, "key").filter("node <> leader").groupBy("node").agg(F.collect_list("leader").alias("met"))  # one a band at most
+    often = F.transform(F.array_distinct("met"), lambda x: F.struct((-F.size(F.filter("met", lambda y: y == x))).alias("times"), F.xxhash64(x).alias("h"), x.alias("leader")))
+    best = met.select("node", F.explode(F.slice(F.array_sort(often), 1, leaders)).alias("one")).select("node", "one.leader")
+    ends = best.join(held.toDF("leader", "other"), "leader").join(held, "node").select("node", "leader", "bag", "other")
+    judged = scratch.save(ends.mapInArrow(compare, "a long, b long, near boolean"), "judged").filter("near").select("a", "b")
+    labels = components(judged, scratch, "labels")
+    named = by_node.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("comp"), F.explode("keys").alias("key"))
+    several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+    active = named.join(several, "key", "left_semi").select("key", "node", "comp")
     last = rest(active, held, scratch, similar, per_block=per_block)
     last = components(last, scratch, "last") if last.take(1) else None
     rows_ = signed.select("row", "doc_id", "digest").join(texts.select("digest", "node"), "digest")
-    if labels is not None:
-        rows_ = rows_.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
-    if last is not None:  # its nodes are the components of the rounds
+    rows_ = rows_.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
+    if last is not None:  # its nodes are the components of the leaders' links
         rows_ = rows_.join(last, "node", "left").withColumn("node", F.coalesce("label", "node"))
     first = rows_.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first"))
     return rows_.join(first, "node").select("doc_id", "digest", F.col("first.doc_id").alias("class_id"), (F.col("row") == F.col("first.row")).alias("stays"))
