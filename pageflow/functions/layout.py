@@ -137,3 +137,20 @@ def hex_rgb(text: Column, default: tuple[int, int, int] = (0, 0, 0)) -> Column:
     numbers = F.transform(F.slice(F.regexp_extract_all(t, F.lit(r"([0-9.]+)"), F.lit(1)), 1, 3), lambda x: x.cast("double").cast("int"))
     is_call = t.rlike(r"^rgba?\(\s*[0-9.]+\s*,\s*[0-9.]+\s*,\s*[0-9.]+")
     return F.when(t.rlike("^#?[0-9A-Fa-f]{6}$"), F.array(part(0), part(1), part(2))).when(is_call, numbers).otherwise(F.array(*map(F.lit, default)))
+
+
+def char_ratio_target(value: Column, enabled: bool = True) -> Column:
+    """The glyph-to-box ratio that a fit aims at; null if it is no number, not positive or switched off."""
+    ratio = value.try_cast("double")
+    return F.when(F.lit(enabled) & (ratio > 0), ratio)
+
+
+def render_kind(vertical: Column, angle: Column, least: float = 2.0) -> Column:
+    """How a planned text is drawn: vertical before rotated (beyond `least` degrees either way) before plain."""
+    return F.when(vertical, "vertical").when(F.abs(angle) > least, "rotated").otherwise("plain")
+
+
+def colours_on(luma: Column, fill: Column, outline: Column, dark: float = 100.0) -> dict[str, Column]:
+    """Fill and outline of a text above a background of this mean luma: swapped if it is dark, kept if it is unknown."""
+    swap = F.coalesce(luma < dark, F.lit(False))
+    return {"fill": F.when(swap, outline).otherwise(fill), "outline": F.when(swap, fill).otherwise(outline)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,3 +130,9 @@ def wrap_candidates(text: Column, ratio: Column) -> Column:
         *map(F.lit, ("greedy", "tokens", "aggressive", "clusters")),
     )
     return F.array_compact(more)
+
+
+def drawable(text: Column, has: Callable[[str], Column]) -> Column:
+    """Ellipsis signs that no font of the chain has, in signs that one has: `has` tells it of a sign, as a column."""
+    flat = F.when(has("⋯"), text).when(has("・"), F.replace(text, F.lit("⋯"), F.lit("・・・"))).otherwise(F.replace(text, F.lit("⋯"), F.lit("...")))
+    return F.when(has("︙"), flat).when(has("⋮"), F.replace(flat, F.lit("︙"), F.lit("⋮"))).otherwise(F.replace(flat, F.lit("︙"), F.lit(":")))

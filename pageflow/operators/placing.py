@@ -105,3 +105,20 @@ def font_runs(signs: DataFrame) -> DataFrame:
     s = s.withColumn("fresh", F.when(F.col("drawn_by") == F.lag("drawn_by").over(order), 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sign"))), lambda x: x["sign"]), "")
     return s.groupBy("line", "run").agg(F.first("drawn_by").alias("font"), text.alias("text"), F.min("x").alias("x"), F.sum("advance").alias("width"))
+
+
+def body_sizes(texts: DataFrame, metrics: DataFrame, key: list[str]) -> DataFrame:
+    """key, body_width, body_height: median extent of the visible glyphs of `text` at `size`; 0 where there are none.
+
+    `metrics` (sign, width, height) holds extents per em of the glyphs that are drawn; signs without one don't count.
+    """
+    signs = texts.select(*key, "size", F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("sign"))
+    seen = signs.filter(~F.col("sign").rlike(r"(?U)\s")).join(metrics.filter("width > 0 and height > 0"), "sign")
+    body = seen.groupBy(*key).agg(F.median(F.col("width") * F.col("size")).alias("w"), F.median(F.col("height") * F.col("size")).alias("h"))
+    found = texts.select(*key).distinct().join(body, key, "left")
+    return found.select(*key, F.coalesce("w", F.lit(0.0)).alias("body_width"), F.coalesce("h", F.lit(0.0)).alias("body_height"))
+
+
+def height_ratio(body_height: Column, reference: Column) -> Column:
+    """Height of a body over a reference of one pixel at least."""
+    return body_height / F.greatest(reference.cast("double"), F.lit(1.0))

@@ -113,3 +113,13 @@ def harmonise(sizes: DataFrame) -> DataFrame:
     joined = s.join(main.select("page", "style", centre.alias("centre")), ["page", "style"], "left")
     snap = (F.abs(F.col("size") - F.col("centre")) <= 0.25 * F.col("centre")) | (F.col("size") > 1.5 * F.col("centre"))
     return joined.select("page", "style", "ord", "size", F.when(snap, F.col("centre")).otherwise(F.col("size")).alias("harmonised"))
+
+
+def top2_of_views(profile: DataFrame, views: DataFrame) -> DataFrame:
+    """item, best, top and margin as in top2_margin, of the softmax averaged over the views (item, vec_id) of each item."""
+    p = profile.withColumn("p", F.exp("val") / F.sum(F.exp("val")).over(Window.partitionBy("vec_id")))
+    mean = p.join(views, "vec_id").groupBy("item", "pos").agg(F.round(F.avg("p"), 9).alias("p"))
+    # Pairs of (probability, -position): the greatest is the first of the most probable, and one a class at most.
+    by = mean.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("p", (-F.col("pos")).alias("at"))), asc=False).alias("by"))
+    lead = F.round(F.get("by", F.lit(0))["p"] - F.get("by", F.lit(1))["p"], 9)
+    return by.select("item", (-F.get("by", F.lit(0))["at"]).alias("best"), F.get("by", F.lit(0))["p"].alias("top"), lead.alias("margin"))

@@ -48,3 +48,16 @@ def with_default(rows: DataFrame, table: DataFrame, key: str, default: dict) ->
     """rows joined with a small table by key (a style's font, say), with defaults where the key is unknown."""
     found = rows.join(F.broadcast(table), key, "left")  # a table of settings, a row for each style
     return found.withColumns({name: F.coalesce(name, F.lit(value)) for name, value in default.items()})
+
+
+def translated_pages(pages: DataFrame, verdicts: DataFrame, key: str, named: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Pages whose verdict (key, translated) is true, and one warning row for the others, or none if there are none.
+
+    The warning has n_left and the first `named` keys in order; a page without a verdict counts as not translated.
+    """
+    kept = pages.join(verdicts.filter("translated").select(key).distinct(), key, "left_semi")
+    left = pages.select(key).distinct().join(kept.select(key).distinct(), key, "left_anti")
+    names = left.orderBy(key).limit(named).agg(F.sort_array(F.collect_list(key)).alias("first"))
+    one = F.lit(1).alias("_one")
+    event = left.agg(F.count("*").alias("n_left"), one).filter("n_left > 0").join(names.withColumn("_one", one), "_one")  # one row each
+    return kept, event.select(F.lit("warning").alias("level"), "n_left", "first")

@@ -1,3 +1,3 @@
 """Query plans."""
 
-from . import catalogue, more, runs  # noqa: F401  registers the queries
+from . import catalogue, measures, more, runs  # noqa: F401  registers the queries
