@@ -49,12 +49,19 @@ def decode_report(decoded: DataFrame, *by: str) -> DataFrame:
     return every.select(*(f"_by.{c}" for c in by), "n", "failed", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
 
 
-def page_records(spark: SparkSession, path: str) -> DataFrame:
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def page_records(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Page records of a JSON array file or of line-delimited files. Missing lists are empty.
 
+    With `lines` all files are line-delimited, as `sinks.write_records` makes them: they are read line by line and can be
+    split. Otherwise each file is one row at first, since an array may hold records over several lines.
     Where a record has no font_char_ratio at all, the older font_stroke_ratio stands for it; a null stays null.
     """
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=not lines)
     whole = F.from_json("value", "array<variant>")
     each = text.select(F.explode(F.when(F.ltrim("value").startswith("["), whole).otherwise(F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), F.parse_json))).alias("v"))
     raw = F.to_json("v")
@@ -82,9 +89,25 @@ def elements(pages: DataFrame) -> DataFrame:
 
 def completed(spark: SparkSession, path: str) -> DataFrame:
     """The completion table, empty where there is none yet."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(STATE).parquet(path) if there else spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).parquet(path) if _exists(spark, path) else spark.createDataFrame([], STATE)
+
+
+def stored_records(spark: SparkSession, path: str) -> DataFrame:
+    """The page records that a first pass wrote; none where it hasn't run yet."""
+    if _exists(spark, path):
+        return page_records(spark, path, lines=True)
+    return spark.createDataFrame([], PAGE)
+
+
+def one_image(spark: SparkSession, folder: str, page: str) -> DataFrame:
+    """The image of one page, no other file being read; no row where the folder hasn't got it."""
+    path = f"{folder.rstrip('/')}/{page}"
+    return images(spark, path) if _exists(spark, path) else images(spark, folder).limit(0)
+
+
+def finished_images(spark: SparkSession, skipped: DataFrame, folder: str) -> DataFrame:
+    """Output images of skipped pages (column page) that an earlier run drew; what can't be decoded is left out."""
+    return images(spark, folder).filter("image.height > 0").join(skipped.select("page").distinct(), "page", "left_semi")
 
 
 def fonts(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 
 def write_records(pages: DataFrame, path: str, *, append: bool = False) -> None:
-    """Line-delimited page records; the image, if there is one, is left out."""
-    pages.drop("image").write.mode("append" if append else "overwrite").json(path)
+    """Line-delimited page records; the image, if there is one, is left out. Nulls are written, since a missing ratio has another meaning."""
+    pages.drop("image").write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def mark_done(pages: DataFrame, path: str, number: int) -> None:

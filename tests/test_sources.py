@@ -35,6 +35,9 @@ def test_images_round_trip(spark, folder, tmp_path):
     again = {r.page: r.image for r in pages.images(spark, f"file://{tmp_path}/out").collect()}
     for r in good.collect():
         assert (pixels.decoded(again[r.page].asDict()) == pixels.decoded(r.image.asDict())).all()
+    assert [r.page for r in pages.one_image(spark, folder, "p3.png").collect()] == ["p3.png"] and pages.one_image(spark, folder, "p9.png").count() == 0
+    skipped = spark.createDataFrame([("p0.png",), ("broken.png",), ("p9.png",), ("p0.png",)], "page string")
+    assert [r.page for r in pages.finished_images(spark, skipped, folder).collect()] == ["p0.png"]
     boxes = spark.createDataFrame([("p1.png", 0, 0, 5, 5), ("p1.png", 1, 2, 9, 9)], "page string, x1 int, y1 int, x2 int, y2 int")
     got = pixels.measure(good, boxes, lambda page, b: {"page": b["page"], "mean": float(page[b["y1"] : b["y2"], b["x1"] : b["x2"]].mean())}, "page string, mean double")
     assert got.count() == 2 and got.agg({"mean": "min"}).first()[0] > 0
@@ -54,6 +57,9 @@ def test_records(spark, tmp_path):
     sinks.write_records(records, f"file://{tmp_path}/out")
     sinks.write_records(records, f"file://{tmp_path}/out", append=True)
     assert pages.page_records(spark, f"file://{tmp_path}/out").count() == 4
+    by_line = pages.stored_records(spark, f"file://{tmp_path}/out")
+    assert sorted(by_line.distinct().collect()) == sorted(records.collect()) and by_line.count() == 4
+    assert pages.stored_records(spark, f"file://{tmp_path}/none").count() == 0 and pages.stored_records(spark, f"file://{tmp_path}/none").columns == records.columns
     assert pages.elements(records).count() == 3
     state = f"file://{tmp_path}/state"
     assert pages.completed(spark, state).count() == 0
