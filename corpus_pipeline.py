@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageflow.llm import cf_toxicity, certified_packing, dart_minhash, entropy_mix, fm_quality
-from pageflow.llm.common import Scratch, word_count
+from pageflow.llm.common import Scratch, small_batches, word_count
 
 #: Documents scored at or above are toxic; documents scored below are of low quality.
 TOXIC, QUALITY = 0.3, 0.3
@@ -32,7 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
-    return dart_minhash.keep_one(docs)
+    with small_batches(spark):
+        return dart_minhash.keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ class MergeTable:
 
 def counter(path: str):
     """A function from text to its number of tokens, with the worker's tables and caches."""
-    kept = store()
+    kept = store("count")
     if ("count", path) not in kept:
         table = MergeTable(path)
         kept["count", path] = table, Memo(table.chunk, 600_000)

@@ -113,7 +113,7 @@ def scorer(docs: DataFrame, weights: np.ndarray, bias: float):
 
     def score(batch: pa.RecordBatch) -> np.ndarray:
         w, b = shared.value
-        kept = store()
+        kept = store("toxicity")
         if kept.get("toxic", (None,))[0] != key:
             kept["toxic"] = key, Memo(lambda word: float(w[features(word)].sum()), 400_000)
         get = kept["toxic"][1].__getitem__

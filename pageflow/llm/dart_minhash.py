@@ -53,7 +53,7 @@ def shingles(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles and their counts."""
     import xxhash
 
-    kept = store()
+    kept = store("dart")
     if "words" not in kept:
         kept["words"] = Memo(xxhash.xxh64_intdigest, 300_000)
     words = data.lower().split()
@@ -226,7 +226,7 @@ def classes(docs: DataFrame, *, similar: float = 0.8, k: int = 128, rows: int =
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = store()
+        kept = store("dart")
         made = kept.setdefault(("bands", k, rows), Memo(lambda x: None, 2000))
         row = TaskContext.get().partitionId() << 33
         for batch in batches:

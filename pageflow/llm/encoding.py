@@ -151,7 +151,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    kept = store()
+    kept = store("encode")
     if ("encode", path) not in kept:
         kept["encode", path] = Encoder(path)
     return kept["encode", path]

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import filtered, scored, text_bytes
+from .common import filtered, scored, store, text_bytes
 from .labelled import training_rows
 
 BITS, FACTORS = 16, 8
@@ -119,6 +119,7 @@ def scorer(docs: DataFrame, machine: Machine):
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))
 
     def score(batch: pa.RecordBatch) -> np.ndarray:
+        store("quality")  # what other operators kept goes
         model = Machine.__new__(Machine)
         model.bias, model.w, model.v = shared.value
         return np.fromiter((model.score(t) for t in text_bytes(batch)), float, batch.num_rows)

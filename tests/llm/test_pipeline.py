@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from pageflow.llm import cf_toxicity, dart_minhash, fm_quality
+from pageflow.llm import cf_toxicity, common, dart_minhash, fm_quality
 from tests.llm.conftest import SCHEMA, prose
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -65,3 +66,46 @@ def test_run_gives_gapless_sequences_and_takes_empty_tables(spark, folder, none,
     none.write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
     assert pipeline.run(spark, empty).count() == 0
+
+
+def test_workers_hold_the_caches_of_one_operator():
+    kept = common.store("one")
+    kept["words"] = 1
+    assert common.store("one") is kept
+    assert common.store("two") == {} and common.store("one") == {}
+
+
+def test_stages_with_texts_in_python_take_small_batches(spark, folder, monkeypatch):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before, seen = [spark.conf.get(n) for n in names], []
+    save = common.Scratch.save
+
+    def saved(self, df, name):
+        seen.append((name, int(spark.conf.get(names[0])), int(spark.conf.get(names[1]).rstrip("b"))))
+        return save(self, df, name)
+
+    monkeypatch.setattr(common.Scratch, "save", saved)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    pipeline.near_duplicates(spark, docs, folder)
+    assert {"signed", "bags"} <= {name for name, _, _ in seen}
+    assert all(rows <= 1000 and size <= 4 << 20 for _, rows, size in seen)
+    assert [spark.conf.get(n) for n in names] == before
+
+
+def test_small_batches_reach_python(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    wide = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 10000) as text")
+    with common.small_batches(spark):
+        found = wide.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in found) == 3000 and max(r.n for r in found) <= 1000 and max(r.bytes for r in found) < 8 << 20
+
+
+def test_filter_judges_parts_of_batches(spark):
+    def odd(batch):
+        assert batch.num_rows <= 1000
+        return [i % 2 == 1 for i in batch.column(0).to_pylist()]
+
+    assert [r.id for r in common.filtered(spark.range(0, 2501, 1, 1), odd).collect()] == list(range(1, 2501, 2))
