@@ -87,7 +87,8 @@ def test_stages_with_texts_in_python_take_small_batches(spark, folder, monkeypat
     monkeypatch.setattr(common.Scratch, "save", saved)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     pipeline.near_duplicates(spark, docs, folder)
-    assert {"signed", "bags"} <= {name for name, _, _ in seen}
+    pipeline.packing(spark, docs, folder)
+    assert {"signed", "bags", "items"} <= {name for name, _, _ in seen}
     assert all(rows <= 1000 and size <= 4 << 20 for _, rows, size in seen)
     assert [spark.conf.get(n) for n in names] == before
 
