@@ -146,24 +146,51 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], similar: floa
     return np.nonzero(common / np.maximum(1, sizes[0][:, None] + sizes[1][None, :] - common) >= similar)
 
 
+def promising(active: DataFrame, held: DataFrame, scratch: Scratch, similar: float) -> DataFrame:
+    """The rows of `active` (key, node, comp) whose text can be similar to another in the band by its own elements, with size.
+
+    An element that no other text of `active` has is in no intersection. With s other elements and z, the least size that a
+    similar text of the band can have, the similarity is at most s / (size + max(z, s) - s). The counts are sums, so this
+    costs the elements of the texts and not their pairs.
+    """
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                found = [np.frombuffer(x, np.int32) for x in part.column(1).to_pylist()]
+                node = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(found), pa.int32())], ["node", "element"])
+
+    nodes = active.groupBy("node").agg(F.first("comp").alias("comp"), F.collect_list("key").alias("keys"))
+    nodes = scratch.save(nodes.join(held, "node").withColumn("size", (F.length("bag") / 4).cast("long")), "nodes")
+    once = nodes.select("node", "bag").mapInArrow(elements, "node long, element int").groupBy("element").agg(F.count("*").alias("texts"), F.min("node").alias("node"))
+    own = once.filter("texts = 1").groupBy("node").agg(F.count("*").alias("own"))
+    shared = F.col("size") - F.coalesce("own", F.lit(0))
+    rows = nodes.select("node", "comp", "keys", "size").join(own, "node", "left").select(F.explode("keys").alias("key"), "node", "comp", "size", shared.alias("shared"))
+    rows = scratch.save(rows, "measured")
+    scratch.drop("nodes")
+    near = F.greatest(F.col("least"), F.col("size") * similar, F.col("shared"))
+    able = F.col("shared") >= (F.col("size") + near - F.col("shared")) * (similar - 1e-9)
+    return rows.join(rows.groupBy("key").agg(F.min("size").alias("least")), "key").filter(able).select("key", "node", "comp", "size")
+
+
 def rest(active: DataFrame, held: DataFrame, scratch: Scratch, similar: float, small: int = 16, per_block: int = 384) -> DataFrame:
     """Links (a, b) between components, from all pairs of members of different components in each band (key, node, comp).
 
-    Bands with the same members are compared once. Members fall into classes of bag size, of which only neighbouring ones
-    can hold similar bags. Bands of at most `small` members give pairs. In larger ones members are dealt into blocks of
-    about `per_block` (fewer of large bags), and each two blocks are one group, compared by matrix products; members of a
-    band's largest component are compared with those of the others only.
+    Bands with the same members are compared once. Bands of at most `small` members give pairs. Of larger ones the members
+    that can't have a link are left out (see `promising`). The others fall into classes of bag size, of which only
+    neighbouring ones can hold similar bags; they are dealt into blocks of about `per_block` (fewer of large bags), and each
+    two blocks are one group, compared by matrix products; members of a band's largest component are compared with those of
+    the others only.
     """
     step = max(-math.log(similar), 1e-3) * (1 + 1e-6)
-    measured = held.select("node", (F.length("bag") / 4).cast("long").alias("size")).withColumn("cls", F.floor(F.log("size") / step).cast("int"))
     active = scratch.save(active, "active")
     alike = active.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
     once = alike.groupBy("members", "h1", "h2").agg(F.min("key").alias("key")).select("key", "members")
-    largest = active.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
-    members = active.join(once.join(largest, "key"), "key").join(measured, "node").withColumn("minor", F.col("comp") != F.col("largest")).drop("largest")
-    members = scratch.save(members, "members")
+    every = scratch.save(active.join(once, "key"), "every")
 
-    few = members.filter(F.col("members") <= small).select("key", "node", "comp", "size")
+    few = every.filter(F.col("members") <= small).select("key", "node", "comp").join(held.select("node", (F.length("bag") / 4).cast("long").alias("size")), "node").select("key", "node", "comp", "size")
     pairs = few.toDF("key", "a", "comp_a", "size_a").join(few.toDF("key", "b", "comp_b", "size_b"), "key")
     pairs = pairs.filter((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (similar - 1e-9)))
     pairs = pairs.select("a", "b", "comp_a", "comp_b").distinct()
@@ -176,7 +203,9 @@ def rest(active: DataFrame, held: DataFrame, scratch: Scratch, similar: float, s
     ends = pairs.join(held.toDF("a", "bag_a"), "a").join(held.toDF("b", "bag_b"), "b").select("comp_a", "comp_b", "bag_a", "bag_b").toDF("a", "b", "bag_a", "bag_b")
     found = ends.mapInArrow(compare, "a long, b long").distinct()
 
-    many = members.filter(F.col("members") > small)
+    many = scratch.save(promising(every.filter(F.col("members") > small), held, scratch, similar), "members")
+    largest = many.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps")).filter("comps > 1")
+    many = many.join(largest, "key").withColumn("cls", F.floor(F.log("size") / step).cast("int")).withColumn("minor", F.col("comp") != F.col("largest")).drop("largest", "comps")
     room = F.greatest(F.lit(16), F.least(F.lit(per_block), F.floor(F.lit(float(1 << 20)) / F.exp((F.col("cls") + 1) * step))))
     groups = many.groupBy("key", "cls", "minor").agg(F.ceil(F.count("*") / room).cast("int").alias("blocks"))
     many = many.join(groups, ["key", "cls", "minor"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))

@@ -167,6 +167,31 @@ def test_links_in_hot_bands_are_all_found(spark, per_block):
     assert {r.doc_id: r.class_id for r in got} == dict(enumerate(label))
 
 
+def test_texts_of_own_elements_are_not_dealt_into_blocks(spark, monkeypatch):
+    """A hot band of 20 pairs of similar texts and 60 texts that share only 0.78 of their elements with any other."""
+    base, texts = [f"word{k}" for k in range(300)], []
+    for n in range(40):  # twins share six of their eight changes
+        some = {k: f"changed{n // 2}" for k in range(1, 7)} | {k: f"own{n}" for k in (20, 21)}
+        texts.append(" ".join(some.get(k // 5, w) if k % 5 == 0 else w for k, w in enumerate(base)))
+    for n in range(60):
+        texts.append(" ".join(f"own{n}x{k}" if k % 5 == 0 and k // 5 < 13 else w for k, w in enumerate(base)))
+    bags = [dart_minhash.bag(t.encode()) for t in texts]
+    want = [min(j for j in range(100) if dart_minhash.similarity(x, bags[j]) >= 0.8) for x in bags]
+    assert want == [n - n % 2 for n in range(40)] + list(range(40, 100))
+    dealt, save = {}, dart_minhash.Scratch.save
+
+    def saved(self, df, name):
+        done = save(self, df, name)
+        if name in ("active", "members"):
+            dealt[name] = {r.node for r in done.select("node").collect()}
+        return done
+
+    monkeypatch.setattr(dart_minhash.Scratch, "save", saved)
+    got = dart_minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
+    assert dealt["members"] and dealt["active"] & set(range(40, 100)) and not dealt["members"] & set(range(40, 100))
+
+
 def test_signature_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 400).astype(np.uint64)
