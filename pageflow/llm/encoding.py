@@ -15,6 +15,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ class Encoder:
     def __init__(self, path: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
@@ -51,6 +53,12 @@ class Encoder:
         self.folds = data["model"].get("end_of_word_suffix") == "</w>"
         if not (self.byte_level and not data.get("normalizer") or self.folds):
             raise ValueError(f"{path}: neither byte-level nor with word ends")
+        if self.folds:
+            self.spaces = Tokenizer(self.tokenizer.model)  # it cuts at white space, which no piece in the vocabulary's signs has
+            self.spaces.pre_tokenizer = WhitespaceSplit()
+            names = self.merges.get_vocab()
+            self.last = np.zeros(max(names.values()) + 1, bool)
+            self.last[[k for name, k in names.items() if name.endswith("</w>")]] = True
         self.chars = dict(enumerate(byte_chars()))
         self.specials = [t["content"].lower().encode() for t in data.get("added_tokens", [])]
         self.limit = limit
@@ -89,10 +97,30 @@ class Encoder:
                 pass
         return b"".join(map(self.chunks.__getitem__, CHUNKS.findall(text)))
 
+    def _joined(self, mapped: list[str], some: int = 128) -> tuple[bytes, list[int]]:
+        """Ids of all pieces and where each begins and ends; `some` pieces are one text to the library, cut at spaces.
+
+        A piece's last token, and no other, ends with the sign for that. Where the counts of both differ, each is a text.
+        """
+        texts = [" ".join(mapped[k : k + some]) for k in range(0, len(mapped), some)]
+        ids = [np.array(e.ids, np.uint32) for e in self.spaces.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(mapped):
+            return ids.tobytes(), [0, *(4 * ends).tolist()]
+        each = [e.ids for e in self.merges.encode_batch_fast(mapped, add_special_tokens=False)]
+        return array("I", chain.from_iterable(each)).tobytes(), [0, *accumulate(4 * len(x) for x in each)]
+
     def _learn(self, words: list[str]) -> None:
         """Puts the ids of new words into the cache; their new pieces are one call of the library."""
-        cut = {}
+        heads, tails, plain, cut = [], [], [], {}
         for word in words:
+            head = word.rstrip(_SIGNS)
+            if head.isalpha() and word.isascii():  # most words; they are in lower case
+                plain.append(word)
+                heads.append(head)
+                tails.append(word[len(head) :])
+                continue
             text = word.lower() if _LATIN.fullmatch(word) else None
             if text is None or not _LATIN.fullmatch(text):
                 self.chunks[word] = self._whole(word)
@@ -101,18 +129,19 @@ class Encoder:
             cut[word] = ([head, text[len(head) :]] if len(head) < len(text) else [text]) if head.isalpha() else _WORD_PIECES.findall(text)
         if len(self.pieces) > self.limit:
             self.pieces.clear()
-        new = list({p for parts in cut.values() for p in parts}.difference(self.pieces))
-        mapped = [p.encode().decode("latin-1").translate(self.chars) for p in new]
-        for piece, e in zip(new, self.merges.encode_batch_fast(mapped, add_special_tokens=False), strict=True):
-            self.pieces[piece] = array("I", e.ids).tobytes()
+        new = list({p for parts in cut.values() for p in parts}.union(heads, tails).difference(self.pieces, ("",)))
+        ids, ends = self._joined([p if p.isascii() else p.encode().decode("latin-1").translate(self.chars) for p in new])  # visible ASCII stands for itself
+        self.pieces.update((p, ids[a:b]) for p, a, b in zip(new, ends, ends[1:], strict=False))
         get = self.pieces.__getitem__
+        self.chunks.update((w, get(h) + get(t) if t else get(h)) for w, h, t in zip(plain, heads, tails, strict=True))
         self.chunks.update((c, get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))) for c, parts in cut.items())
 
     def _words(self, folded: list[bytes]) -> Iterator[bytes]:
         """Ids where white space and case are dropped. Arrow tells the distinct words of a group and puts their ids in place."""
         lists = pc.ascii_split_whitespace(pa.array(folded, pa.large_string()))
         coded = lists.flatten().dictionary_encode()
-        every = coded.dictionary.to_pylist()
+        words = coded.dictionary
+        every = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar("\n", words.type))[0].as_py().split("\n") if len(words) else []
         new = [w for w in every if w not in self.chunks]
         if len(self.chunks) + len(new) > self.limit:
             self.chunks.clear()

@@ -240,6 +240,32 @@ def test_id_files_round_trip(spark, docs, none, rows, tmp_path):
     assert seekable_ids.encode_documents(none)[1].count() == 0
 
 
+def test_new_words_are_few_texts_to_the_library():
+    """Pieces by the library's merge model one at a time were most of the cost of op6_seekable_frames."""
+    rng = np.random.default_rng(5)
+    sign = list("abcdeftz" * 4 + "éçüÉß½漢\x00\x7f\x85\xa0'.,-<>/w1")
+    words = ["".join(rng.choice(sign, rng.integers(1, 12))) + str(rng.choice(["", ".", ",", "'s", "</w>", "!!"])) for _ in range(3000)]
+    texts = [" ".join(words[k : k + 50]).encode() for k in range(0, 3000, 50)] + [b"", b" \n", "\u3000 x\u2028y".encode()]
+    want = [ids("word_bpe_49k.json", t.decode())[:-4] for t in texts]
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.pieces = model, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.pieces += len(texts)
+            return self.model.encode_batch_fast(texts, **options)
+
+    e = encoding.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    e.merges = Counted(e.merges)
+    assert list(e.encode_all(texts)) == want
+    assert len(e.pieces) > 1000 and e.merges.pieces < 100
+    e.pieces.clear()
+    e.chunks.clear()
+    e.last[:] = False  # where ends of pieces aren't told, each piece is a text
+    assert list(e.encode_all(texts, group=1000)) == want and e.merges.pieces > 1000
+
+
 def test_damaged_frame_is_found():
     class Out(io.BytesIO):
         def close(self):
