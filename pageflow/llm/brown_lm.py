@@ -18,7 +18,8 @@ transitions back off to class frequencies. Both sum to one.
 
 Counts cover the whole training part. What reaches the driver is bounded by parameters: the `direct` commonest words with
 their classes and (frequent + affixes)^2 pair counts. Rarer words get counts and classes by a join, so no vocabulary is
-broadcast that grows with the data. Null and empty texts are the end token alone. Repeated rows, null ids and ties are
+broadcast that grows with the data. Executors hold bounded parts: texts come in batches of about 4 MiB, results go back in
+slices, tokens are scored about a million at a time. Null and empty texts are the end token alone. Repeated rows, null ids and ties are
 separate rows with equal scores. Without training rows N and V are 0 and all classes are even; an empty table gives no
 rows. Long texts are taken whole. Only doc_id and text are read, so other columns may have any names.
 """
@@ -38,11 +39,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, fold, text_bytes
+from .common import Memo, Scratch, fold, small_batches, text_bytes
 
 END = b""  # no word is empty
 
 
+def sliced(batch: pa.RecordBatch, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows, as the JVM holds a part at a time."""
+    return (batch.slice(low, rows) for low in range(0, batch.num_rows, rows))
+
+
+def by_tokens(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `most` bytes (tokens) in a column of codes, or of one row."""
+    ends, low = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(), dtype=np.int64), 0
+    while low < batch.num_rows:
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def word_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     """word (binary, lower case; the end token is empty) and its count c."""
 
@@ -50,17 +66,18 @@ def word_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
         counts: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            found = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            counts.clear()
+            return sliced(found)
 
         for batch in batches:
             for data in text_bytes(batch):
                 counts.update(data.lower().split())
                 if len(counts) > flush:
-                    yield out()
-                    counts.clear()
+                    yield from out()
             counts[END] += batch.num_rows
         if counts:
-            yield out()
+            yield from out()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -76,21 +93,21 @@ def pair_counts(docs: DataFrame, ids: dict[bytes, int], affixes: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total, held, size = shared.value, np.zeros(items * items, np.int64), [], 0
-        item = Memo(lambda w: known[w] if w in known else frequent + affix(w, affixes))
+        item = Memo(lambda w: known[w] if w in known else frequent + affix(w, affixes), limit=100_000)
         for batch in batches:
             for data in text_bytes(batch):
                 words = [END, *data.lower().split(), END]
                 codes = np.fromiter(map(item.__getitem__, words), np.int64, len(words))
                 held.append(codes[:-1] * items + codes[1:])
                 size += len(words)
-                if size > 2_000_000:
+                if size > 500_000:
                     total += np.bincount(np.concatenate(held), minlength=items * items)
                     held, size = [], 0
         if held:
             total += np.bincount(np.concatenate(held), minlength=items * items)
         pairs = np.flatnonzero(total)
-        for at in range(0, len(pairs), 200_000):
-            part = pairs[at : at + 200_000]
+        for at in range(0, len(pairs), 50_000):
+            part = pairs[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["pair", "n"])
 
     return docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -150,12 +167,13 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
 def packed(code: np.ndarray, near: np.ndarray, counts: np.ndarray, n: int) -> pa.Array:
     """For each word code below n (all occur, in order) its neighbours' counts, as bytes (near, up to 255)."""
     times = (counts - 1) // 255 + 1
-    data = np.empty((int(times.sum()), 2), np.uint8)
+    ends = np.cumsum(times)
+    data = np.empty((int(ends[-1]) if len(ends) else 0, 2), np.uint8)
     data[:, 0] = np.repeat(near, times)
     data[:, 1] = 255
-    data[np.cumsum(times) - 1, 1] = counts - (times - 1) * 255
-    ends = np.cumsum(np.bincount(code, weights=2 * times, minlength=n))
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    data[ends - 1, 1] = counts - (times - 1) * 255
+    last = np.flatnonzero(np.append(code[1:] != code[:-1], True)[: len(code)])
+    offsets = np.concatenate([[0], 2 * ends[last]]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
@@ -170,12 +188,19 @@ class Interned(dict):
 def neighbours(docs: DataFrame, class_of: Callable[[list[bytes]], np.ndarray], classes: int, flush: int = 1_500_000) -> DataFrame:
     """word and its `packed` neighbours, right ones by class, left ones by `classes` + class; several rows a word."""
 
-    def out(code: Interned, held: list[np.ndarray]) -> pa.RecordBatch:
-        words, at = list(code), np.concatenate(held).astype(np.int64)
-        kind = class_of(words)[at]
-        keys = np.concatenate([at[:-1] * (2 * classes) + kind[1:], at[1:] * (2 * classes) + classes + kind[:-1]])
-        keys, counts = np.unique(keys, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), packed(keys // (2 * classes), keys % (2 * classes), counts, len(words))], ["word", "near"])
+    def out(code: Interned, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words, wide = list(code), 2 * classes
+        at = np.concatenate(held).astype(np.int32 if len(words) * wide < 1 << 31 else np.int64)
+        code.clear()
+        held.clear()
+        kind = class_of(words).astype(at.dtype)[at]
+        keys = np.concatenate([at[:-1] * wide + kind[1:], at[1:] * wide + classes + kind[:-1]])
+        del at, kind
+        keys.sort()
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+        counts, keys = np.diff(starts, append=starts.dtype.type(len(keys))), keys[starts]
+        near = packed(keys // wide, (keys % wide).astype(np.uint8), counts, len(words))
+        return sliced(pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), near], ["word", "near"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, held, size = Interned(), [], 0
@@ -189,15 +214,15 @@ def neighbours(docs: DataFrame, class_of: Callable[[list[bytes]], np.ndarray], c
                 held.append(np.fromiter(map(code.__getitem__, words), np.int32, len(words)))
                 size += len(words)
                 if size > flush:
-                    yield out(code, held)
-                    code, held, size = Interned(), [], 0
+                    yield from out(code, held)
+                    size = 0
         if held:
-            yield out(code, held)
+            yield from out(code, held)
 
     return docs.select("text").mapInArrow(run, "word binary, near binary")
 
 
-def best_classes(near: np.ndarray, at: np.ndarray, table: np.ndarray, block: int = 256) -> np.ndarray:
+def best_classes(near: np.ndarray, at: np.ndarray, table: np.ndarray, block: int = 64) -> np.ndarray:
     """Where the likelihood gains most, for words now in the classes `at`: near has counts of right, then left classes."""
     classes = len(table)
     cells = np.concatenate([table, table.T], 1)  # by class of the word: right classes, then left ones
@@ -363,16 +388,21 @@ def score(
         raise ValueError("a neighbour has to fit a byte: 1 to 128 classes")
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    model = learn(docs.filter(fold("doc_id", parts) != held), scratch, classes=classes, frequent=frequent, affixes=affixes, evidence=evidence)
-    tokens = coded(docs, model, scratch, direct)
+    with small_batches(docs.sparkSession, rows=4096):
+        model = learn(docs.filter(fold("doc_id", parts) != held), scratch, classes=classes, frequent=frequent, affixes=affixes, evidence=evidence)
+        tokens = coded(docs, model, scratch, direct)
     start = int(model.class_of([END])[0])
 
+    def pairs_of(texts: list[bytes]) -> np.ndarray:
+        # A text ends with the class that starts the next one.
+        k = np.frombuffer(bytes([start]) + b"".join(texts), np.uint8).astype(np.uint16)
+        return k[:-1] * np.uint16(classes) + k[1:]
+
     def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(classes * classes, np.int64)
         for batch in batches:
-            # A text ends with the class that starts the next one.
-            k = np.frombuffer(bytes([start]) + b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)
-            total += np.bincount(k[:-1] * classes + k[1:], minlength=classes * classes)
+            for part in by_tokens(batch, 0):
+                total += np.bincount(pairs_of(part.column(0).to_pylist()), minlength=classes * classes)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
 
@@ -390,10 +420,10 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(4).to_pylist()
-            k = np.frombuffer(bytes([start]) + b"".join(texts), np.uint8).astype(np.int64)
-            sums = np.add.reduceat(step[k[:-1] * classes + k[1:]], np.cumsum([0, *(len(x) for x in texts[:-1])])) if texts else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.float64())], ["doc_id", "n", "known", "logs", "model"])
+            for part in by_tokens(batch, 4):
+                texts = part.column(4).to_pylist()
+                sums = np.add.reduceat(step[pairs_of(texts)], np.cumsum([0, *(len(x) for x in texts[:-1])]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sums, pa.float64())], ["doc_id", "n", "known", "logs", "model"])
 
     rest = math.log10(model.n_tokens + model.n_types + 1)
     return tokens.mapInArrow(run, "doc_id long, n long, known long, logs double, model double").select(

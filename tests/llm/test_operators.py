@@ -6,9 +6,11 @@ import math
 import re
 import zlib
 from array import array
+from unittest import mock
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -95,6 +97,46 @@ def test_packed_neighbours_sum_to_the_counts(spark):
     assert sums == [{3: 700, 4: 255}, {0: 1}]
 
 
+def test_brown_reads_texts_in_small_batches(spark, monkeypatch):
+    def checked(batch, read=brown_lm.text_bytes):
+        assert batch.num_rows <= 4096 and batch.nbytes <= 8 << 20, (batch.num_rows, batch.nbytes)
+        return read(batch)
+
+    monkeypatch.setattr(brown_lm, "text_bytes", checked)
+    limits = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(x) for x in limits]
+    docs = spark.range(6300).repartition(1).selectExpr("id doc_id", "if(id < 6000, 'a b', repeat('long text ', 10000)) text")
+    got = brown_lm.score(docs, classes=2, frequent=2, affixes=2).agg({"doc_id": "count", "n_tokens": "sum"}).first()
+    assert sorted(got) == [6300, 6000 * 3 + 300 * 20_001]
+    assert [spark.conf.get(x) for x in limits] == before
+
+
+@pytest.mark.parametrize("part", [brown_lm.word_counts, lambda docs: brown_lm.neighbours(docs, lambda words: np.zeros(len(words), np.int64), 1)])
+def test_brown_returns_words_in_small_batches(part):
+    class Frame:
+        """Keeps the function that Python workers would run."""
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        select = groupBy = agg = lambda self, *_: self
+
+    with mock.patch.object(brown_lm, "F"):
+        run = part(frame := Frame()) and frame.run
+    texts = [" ".join(f"w{k}" for k in range(low, low + 1000)) for low in range(0, 120_000, 1000)]
+    got = list(run([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    assert max(x.num_rows for x in got) <= 50_000
+    words = [w for x in got for w in x.column(0).to_pylist()]
+    assert len(words) == 120_001 and set(words) == {b"", *(f"w{k}".encode() for k in range(120_000))}
+
+
+def test_codes_are_scored_in_parts_of_bounded_tokens():
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x" * n for n in (3, 4, 0, 9, 1, 1, 6)], pa.binary())], ["codes"])
+    assert [[len(x) for x in part.column(0).to_pylist()] for part in brown_lm.by_tokens(batch, 0, most=7)] == [[3, 4, 0], [9], [1, 1], [6]]
+    assert list(brown_lm.by_tokens(batch.slice(0, 0), 0)) == []
+
+
 def test_exchange_separates_alternating_words():
     pairs = np.zeros((6, 6))
     pairs[:3, 3:] = pairs[3:, :3] = 10
