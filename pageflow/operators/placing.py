@@ -91,11 +91,11 @@ def font_chain(fonts: DataFrame) -> DataFrame:
 
 
 def resolve_glyphs(signs: DataFrame, chain: DataFrame, coverage: DataFrame) -> DataFrame:
-    """signs (font, sign, ...) with `drawn_by`: the first font of the chain that covers the sign; else, and for spaces, the font itself."""
+    """signs (font, sign, ...) with `drawn_by`: the first font of the chain that covers the sign; else, and for spaces of any width, the font itself."""
     wanted = signs.select("font", "sign").distinct()
     able = wanted.join(chain, "font").join(coverage.select(F.col("font").alias("fallback"), "sign").distinct(), ["fallback", "sign"])
     first = able.groupBy("font", "sign").agg(F.min_by("fallback", "place").alias("by"))
-    return signs.join(first, ["font", "sign"], "left").withColumn("drawn_by", F.when(F.trim("sign") == "", F.col("font")).otherwise(F.coalesce("by", "font"))).drop("by")
+    return signs.join(first, ["font", "sign"], "left").withColumn("drawn_by", F.when(F.col("sign").rlike(r"\A\p{Zs}*\z"), F.col("font")).otherwise(F.coalesce("by", "font"))).drop("by")
 
 
 def font_runs(signs: DataFrame) -> DataFrame:

@@ -46,3 +46,15 @@ def test_glyphs_of_whole_texts(spark, duck):
             want.add((doc_id, sign, font if sign == " " or not able else able[0]))
     got = [tuple(r) for r in catalogue.QUERIES["glyph_fallback"](spark, DATA).select("doc_id", "sign", "drawn_by").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_glyphs_of_odd_texts(spark, tmp_path):
+    odd = [(0, ""), (1, None), (None, "a b"), (-1, "a\u3000"), (-2, "b"), (-3, "c "), (2**62, "x"), (5, "one"), (5, "two one")]
+    odd += [(k, "é\u00a0\u1680\u2003\u202f\u205f\u3000 \u200b\t\n\x00\U0001f600e\u0301") for k in (6, 7, 8)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(odd, "doc_id long, text string").write.parquet(path)
+    one = duckdb.connect()
+    one.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = one.execute(f"SELECT doc_id, sign, drawn_by FROM ({catalogue.ORACLE_SQL['glyph_fallback']})").fetchall()
+    got = [tuple(r) for r in catalogue.QUERIES["glyph_fallback"](spark, str(tmp_path)).select("doc_id", "sign", "drawn_by").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
