@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,19 +97,54 @@ def wrap_aggressive(text: Column, width: int) -> Column:
     return F.array_join(_fill(F.filter(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), lambda w: w != ""), width), "\n")
 
 
-def _running(lengths: Column) -> Column:
-    """Running sums of an array of lengths."""
-    start = F.struct(F.array().cast("array<int>").alias("sums"), F.lit(0).alias("n"))
-    return F.aggregate(lengths, start, lambda acc, x: F.struct(F.concat(acc["sums"], F.array(acc["n"] + x)).alias("sums"), (acc["n"] + x).alias("n")), lambda acc: acc["sums"])
+#: What SQL's trim takes off: the space separators.
+_SPACES = (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts one after the other, and the number of the text that each belongs to."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return points, np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+
+
+def count_midword(sources: list[str], wrapped: list[str]) -> np.ndarray:
+    """midword_breaks of many texts at once: gaps and line ends are running sums over all of them."""
+    span, n = 1 + max(map(len, [*sources, *wrapped]), default=0), len(sources)
+    points, row = _points(sources)
+    between = (points == 32) | (points == 10)
+    so_far = np.cumsum(~between)
+    gaps = row[between] * span + (so_far - np.append(0, np.cumsum(np.bincount(row[~between], minlength=n)))[row])[between]
+
+    points, row = _points(wrapped)
+    ends = points == 10
+    line = np.cumsum(ends) - ends + row
+    of = np.repeat(np.arange(n), np.bincount(row[ends], minlength=n) + 1)
+    seen = np.flatnonzero(~ends & (points != 32))
+    signs = np.bincount(line[seen], minlength=len(of))
+    wide = seen[points[seen] >= 0xA0]
+    blank = np.bincount(line[wide[np.isin(points[wide], _SPACES)]], minlength=len(of))
+    full = signs > blank
+    signs = signs[full]
+    of = of[full]
+    so_far = np.cumsum(signs) - np.append(0, np.cumsum(np.bincount(of, signs, minlength=n)))[of].astype(np.int64)
+    inner = np.append(of[1:] == of[:-1], False)[: len(of)]  # the last line of a text ends no word
+    places = of[inner] * span + so_far[inner]
+    at = np.searchsorted(gaps, places)
+    return np.bincount(of[inner][np.append(gaps, -1)[at] != places], minlength=n)
 
 
 def midword_breaks(source: Column, wrapped: Column) -> Column:
     """How many line ends of `wrapped` fall inside a word of `source`; places are counted in signs other than spaces."""
-    words = F.transform(F.split(source, "[ \n]"), lambda w: F.length(w))
-    gaps = F.slice(_running(words), F.lit(1), F.size(words) - 1)
-    lines = F.filter(F.split(wrapped, "\n"), lambda x: F.trim(x) != "")
-    ends = _running(F.transform(lines, lambda x: F.length(F.replace(x, F.lit(" "), F.lit("")))))
-    return F.when(F.size(lines) < 2, 0).otherwise(F.size(F.filter(F.slice(ends, F.lit(1), F.greatest(F.lit(0), F.size(lines) - 1)), lambda e: ~F.array_contains(gaps, e))))
+
+    def run(source: pa.Array, wrapped: pa.Array) -> pa.Array:
+        parts = []
+        for low in range(0, len(source), 1000):
+            a, b = source.slice(low, 1000), wrapped.slice(low, 1000)
+            none = np.array(pc.or_(a.is_null(), b.is_null()))
+            parts.append(pa.array(count_midword([x or "" for x in a.to_pylist()], [x or "" for x in b.to_pylist()]), pa.int32(), mask=none))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.int32())
+
+    return F.arrow_udf(run, "int")(source, wrapped)
 
 
 def line_penalty(line: Column, line_width: Column, width: float, ratio: float, is_last: Column) -> Column:

@@ -1,6 +1,7 @@
 """Every catalogue query against its oracle, over whole tables."""
 
 import os
+import time
 
 import duckdb
 import pytest
@@ -58,3 +59,17 @@ def test_glyphs_of_odd_texts(spark, tmp_path):
     want = one.execute(f"SELECT doc_id, sign, drawn_by FROM ({catalogue.ORACLE_SQL['glyph_fallback']})").fetchall()
     got = [tuple(r) for r in catalogue.QUERIES["glyph_fallback"](spark, str(tmp_path)).select("doc_id", "sign", "drawn_by").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_midword_breaks_of_long_and_odd_texts(spark, tmp_path):
+    odd = ["", None, " ", "a", "  lead and trail  ", "tab\tand\rreturn\u0085next", "\u00a0\u3000 " * 12, "line\nbreak " * 9, "\U0001f600 e\u0301" * 30, "word " * 20000, "x" * 50000]
+    path = f"{tmp_path}/conversations.parquet"
+    spark.createDataFrame([(k, 0, x) for k, x in enumerate(odd)], "conv_id long, turn long, text string").coalesce(1).write.parquet(path)
+    one = duckdb.connect()
+    one.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/*.parquet') WHERE conv_id < 9")
+    want = one.execute(f"SELECT conv_id, breaks FROM ({catalogue.ORACLE_SQL['midword_breaks']})").fetchall()
+    began = time.monotonic()
+    got = {r.conv_id: r.breaks for r in catalogue.QUERIES["midword_breaks"](spark, str(tmp_path)).collect()}
+    assert time.monotonic() - began < 60  # sums anew for each line end took minutes
+    assert {k: v for k, v in got.items() if k < 9} == dict(want)
+    assert got[9] == sum(9 * k // 5 * 4 + min(9 * k % 5, 4) not in range(0, 10**6, 4) for k in range(1, 11112)) and got[10] == 5555
