@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+import time
 
 import pytest
 
@@ -75,6 +77,43 @@ def test_vertical_columns():
     assert fits and 5 <= size <= 24 and not ts.best_fit_vertical("가나다" * 20, 20, 5, 10, METRIC)[1]
 
 
+def test_vertical_columns_of_long_texts_in_linear_time():
+    rng = random.Random(5)
+
+    def plain(text, size, high):
+        columns = []
+        for paragraph in text.split("\n"):
+            column = []
+            for token in re.findall(r"[!?]+|.", paragraph, re.S):
+                w, h = (0.0, 0.45 * size) if token.isspace() else METRIC.block(token, size)
+                turned = len(token) == 1 and token in ts.ROTATED
+                w, h = (h, w) if turned else (w, h)
+                if column and sum(x[2] for x in column) + h > high and not (len(token) == 1 and token in ts.HEAD_FORBIDDEN):
+                    columns.append(column)
+                    column = []
+                    if token.isspace():
+                        continue
+                column.append((token, w, h, turned))
+            if column:
+                columns.append(column)
+        return columns
+
+    for _ in range(1500):
+        text = "".join(rng.choice("ab가나 \u3000!?.。」~-(\n\t ") for _ in range(rng.randint(0, 60)))
+        size, high = rng.randint(5, 40), rng.choice([1, 10, 45, 59, 100, 236.0, rng.uniform(5, 300)])
+        assert ts.vertical_columns(text, size, METRIC, high) == plain(text, size, high)
+        most, fits = ts.best_fit_vertical(text, size, 90, high, METRIC)
+        tried = [ts.vertical_block(text, at, METRIC, high, 1) for at in range(5, size + 1)]
+        assert fits or not any(n and w <= 90 and h <= high for w, h, n in tried[: max(0, size - 4)] if size >= 18)
+        if fits:
+            w, h, n = ts.vertical_block(text, most, METRIC, high, 1)
+            assert n and w <= 90 and h <= high
+    began = time.monotonic()
+    assert sum(map(len, ts.vertical_columns("가" * 100_000, 10, METRIC, 50_000.0))) == 100_000
+    assert not ts.best_fit_vertical("가나" * 50_000, 20, 100, 50_000, METRIC)[1]
+    assert time.monotonic() - began < 10
+
+
 def test_moved_off():
     assert placing.moved_off((0, 0, 10, 10), [(20, 20, 30, 30)], 100, 100) == (0, 0, 10, 10)
     assert placing.moved_off((50, 50, 60, 60), [(48, 58, 90, 90)], 100, 100) == (50, 48, 60, 58)
