@@ -129,3 +129,27 @@ def test_runs_and_fallback(spark):
     drawn = placing.resolve_glyphs(signs, chain, have)
     assert [r.drawn_by for r in drawn.orderBy("pos").collect()] == ["a", "s", "a", "a"]
     assert [tuple(r) for r in placing.font_runs(drawn).orderBy("run").collect()] == [(1, 1, "a", "x", 0.0, 1.0), (1, 2, "s", "y", 1.0, 1.0), (1, 3, "a", " z", 2.0, 2.0)]
+
+
+def test_wraps_by_running_sums_and_the_fit_of_long_texts():
+    rng = random.Random(6)
+
+    def plain(words, fits):
+        lines = []
+        for word in words:
+            if lines and fits(f"{lines[-1]} {word}"):
+                lines[-1] += f" {word}"
+            else:
+                lines.append(word)
+        return lines
+
+    for _ in range(300):
+        metric = ts.Metric(scale=rng.choice([1, 0.92]), letter=rng.choice([0, -0.6, -9.0, 1.3]), line=1.0)
+        text = "".join(rng.choice("abc,.가나 !?·(") for _ in range(rng.randint(1, 80)))
+        size, width = rng.randint(5, 30), rng.choice([40, 90, 60.5, rng.uniform(1, 200)])
+        fits = lambda x: metric.line(x, size) <= width  # noqa: B023, E731
+        assert ts.wrap("greedy", text, width, size, metric) == "\n".join(plain(text.split(), fits))
+    began = time.monotonic()
+    words = " ".join("x" * rng.randint(1, 9) for _ in range(3000))
+    assert not ts.best_fit(words, 20, 200, 100, METRIC)[3]
+    assert time.monotonic() - began < 8
